@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, neardup, packing
+from . import language, mixing, neardup, packing, pii
 
 
 def queries() -> dict:
     return {
+        "op2_pii": pii.query,
         "op3_near_dedup": neardup.query,
+        "op6_language_id": language.query,
+        "language_id_pages": language.pages_query,
         "op9_packing": packing.query,
         "op10_mixing": mixing.query,
     }
