@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, language, licenses, mixing, neardup, nndescent, packing, pii, quality
+from . import covertree, html_extract, language, licenses, mixing, neardup, nndescent, packing, pii, quality
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_nn_descent": nndescent.query,
         "op6_language_id": language.query,
         "language_id_pages": language.pages_query,
+        "op7_html_text": html_extract.query,
         "op8_quality": quality.query,
         "op9_packing": packing.query,
         "op10_mixing": mixing.query,
