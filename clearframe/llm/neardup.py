@@ -8,8 +8,10 @@ similarity, and what stays is verified on the full sets.
 
 Groups are never expanded into pairs.  Equal sets fold into one representative first.  In each
 bucket of a band all members are compared with the bucket's smallest document (a star); documents
-already connected need no more comparisons.  Only members of a bucket that are still in different
-components are compared with each other, in blocks, by their registers.
+already connected need no more comparisons.  Where members of a bucket are still in different
+components, registers alone tell which of these components may meet; their documents form a cluster,
+which is settled on full sets in bounded blocks.  A block gives back only links that join components,
+so the rows never exceed the documents.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ WIDTH = 5
 PERCENT = 75
 ROWS, BANDS = 6, 60
 REGISTERS = ROWS * BANDS
-#: Base of the grid and the register for the value 1; registers are cut to [0, 65535].
-B = 1.05
-_ZERO = 256
+#: Base of the grid and the register for the value 1; registers are cut to [0, 255].
+B = 1.1
+_ZERO = 64
 #: Estimates below this are not verified: five standard deviations at the threshold.
 MARGIN = 5 * math.sqrt(0.75 * 0.25 / REGISTERS)
 _CHUNK = 1 << 22
 _U = np.uint64
-_SALT = 512
+#: Documents, and shingles, in a block of a bucket or cluster.
+_BLOCK, _BLOCK_SHINGLES = 512, 1 << 21
 
 
 def text_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -50,7 +53,7 @@ def _uniform(x: np.ndarray) -> np.ndarray:
 
 
 def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
-    """SetSketch registers of each set, as a row of ``m`` unsigned 16-bit values.
+    """SetSketch registers of each set, as a row of ``m`` bytes.
 
     Each element gives points of a Poisson process in rising order, each on a register of its own
     draw.  Points above the largest register minimum change nothing, so each set has a bound that
@@ -76,7 +79,7 @@ def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
         bound[todo] *= 2
     with np.errstate(invalid="ignore"):
         grid = _ZERO + np.floor(1 - np.log(low * m) / math.log(B))
-    return np.clip(np.nan_to_num(grid, nan=0, posinf=0, neginf=0), 0, 65535).astype("<u2")
+    return np.clip(np.nan_to_num(grid, nan=0, posinf=0, neginf=0), 0, 255).astype(np.uint8)
 
 
 def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, grid: int = 101) -> np.ndarray:
@@ -139,7 +142,7 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps pairs (a, b) whose likely similarity is near or above the threshold."""
     for batch in batches:
         if batch.num_rows:
-            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("sa", "sb")]
+            regs = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("sa", "sb")]
             sizes = [batch.column(c).to_numpy().astype(float) for c in ("na", "nb")]
             good = likely_similarity(*regs, *sizes) >= PERCENT / 100 - MARGIN
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(good))
@@ -148,28 +151,72 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIR = "a long, b long, na long, nb long"
 
 
-def _across(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Likely pairs between two blocks of one bucket whose members are in different components."""
-    found: list[np.ndarray] = []
-    read = lambda t: (t["doc_id"].to_numpy(), t["n_shingles"].to_numpy(), t["component"].to_numpy(), np.frombuffer(b"".join(t["sketch"].to_pylist()), "<u2").reshape(-1, REGISTERS))
-    (ids, n, comp, regs), (ids2, n2, comp2, regs2) = read(left), read(right)
+def _read(t: pa.Table) -> tuple[np.ndarray, ...]:
+    sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
+    return t["doc_id"].to_numpy(), t["n_shingles"].to_numpy(), t["component"].to_numpy().copy(), sketch
+
+
+def _joins(left: pa.Table, right: pa.Table, linked) -> pa.Table:
+    """Links between two blocks that join components, found by trying likely pairs of different ones.
+
+    ``linked(i, js)`` tells which of the likely pairs count.  Components that meet become one, and
+    their further pairs are not tried.
+    """
+    ids, n, comp, regs = _read(left)
+    ids2, n2, comp2, regs2 = _read(right)
+    found: list[tuple[int, int]] = []
     for i in range(len(ids)):
-        near = (comp2 != comp[i]) & (ids2 > ids[i]) & (100 * np.minimum(n2, n[i]) >= PERCENT * np.maximum(n2, n[i]))
-        at = np.flatnonzero(near)
-        if len(at):
-            j = likely_similarity(np.broadcast_to(regs[i], (len(at), REGISTERS)), regs2[at], np.full(len(at), float(n[i])), n2[at].astype(float))
-            at = at[j >= PERCENT / 100 - MARGIN]
-            found.append(np.stack([np.full(len(at), ids[i]), ids2[at], np.full(len(at), n[i]), n2[at]], 1))
-    rows = np.concatenate(found) if found else np.zeros((0, 4), np.int64)
-    return pa.table({c: pa.array(rows[:, k], pa.int64()) for k, c in enumerate(("a", "b", "na", "nb"))})
-
-
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets meet the threshold; sets are read again from the texts."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+        at = np.flatnonzero((comp2 != comp[i]) & (100 * np.minimum(n2, n[i]) >= PERCENT * np.maximum(n2, n[i])))
+        if not len(at):
+            continue
+        j = likely_similarity(np.broadcast_to(regs[i], (len(at), REGISTERS)), regs2[at], np.full(len(at), float(n[i])), n2[at].astype(float))
+        order = np.argsort(-j, kind="stable")
+        for k in at[order[j[order] >= PERCENT / 100 - MARGIN]]:
+            if comp2[k] != comp[i] and linked(i, k):
+                found.append((int(ids[i]), int(ids2[k])))
+                old, new = max(comp[i], comp2[k]), min(comp[i], comp2[k])
+                comp[comp == old], comp2[comp2 == old] = new, new
+    rows = np.array(found, np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(rows[:, 0]), "b": pa.array(rows[:, 1])})
+
+
+def _hints(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs that may link components of one bucket: by registers alone."""
+    return _joins(left, right, lambda i, j: True)
+
+
+def _settle(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Pairs that do link components of one cluster: likely ones, verified on full sets."""
+    sets = [[np.asarray(x.values, np.int64) for x in t["members"].combine_chunks()] for t in (left, right)]
+
+    def linked(i: int, j: int) -> bool:
+        a, b = sets[0][i], sets[1][j]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+    return _joins(left, right, linked)
+
+
+def _blocked(rows: DataFrame, key: str, run) -> DataFrame:
+    """Runs a function over all pairs of blocks of each group; a group of any size is cut by hash."""
+    cost = F.greatest(F.ceil(F.count("*") / F.lit(_BLOCK)), F.ceil(F.sum("n_shingles") / F.lit(_BLOCK_SHINGLES)))
+    sizes = rows.groupBy(key).agg(cost.cast("int").alias("parts")).withColumnRenamed(key, "of")
+    rows = rows.join(sizes, F.col(key) == F.col("of")).drop("of").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    rows = checkpointed(rows)
+    left = rows.withColumn("x", F.col("own")).withColumn("y", F.explode(F.sequence(F.col("own"), F.col("parts") - 1)))
+    right = rows.withColumn("y", F.col("own")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    right = right.toDF(*right.columns)
+    return left.groupBy(key, "x", "y").cogroup(right.groupBy(key, "x", "y")).applyInArrow(run, "a long, b long")
+
+
+def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, members) of the named documents, read again from the texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = texts.join(ids, F.col("doc_id") == F.col("need"), "left_semi").mapInArrow(_with_sets, "doc_id long, members array<long>").dropDuplicates(["doc_id"])
-    sets = checkpointed(sets)
+    return texts.join(ids, F.col("doc_id") == F.col("need"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_with_sets, "doc_id long, members array<long>")
+
+
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets meet the threshold."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("ma"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("mb"))
     both = F.size(F.array_intersect("ma", "mb")).cast("long")
@@ -207,31 +254,34 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     equal = full.select("doc_id", *key).join(first, key).where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
     alone = full.join(first.select("first"), F.col("doc_id") == F.col("first"), "left_semi").dropDuplicates(["doc_id"])
     alone = checkpointed(alone.select("doc_id", "n_shingles", "sketch"))
-    width = 2 * ROWS
+    width = ROWS
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sketch", width * i + 1, width)) for i in range(BANDS)])
     banded = alone.select("doc_id", F.explode(keys).alias("band"))
     heads = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = checkpointed(banded.join(heads, "band").select("band", "a", "doc_id"))
     star = members.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
-    side = lambda c: alone.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    busy = checkpointed(star.select(F.explode(F.array("a", "b")).alias("need")).distinct())
+    sets = checkpointed(_sets_of(docs, busy))
+    known = alone.join(busy, F.col("doc_id") == F.col("need"), "left_semi")
+    side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     sizes_fit = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
     likely = checkpointed(star.join(side("a"), "a").join(side("b"), "b").where(sizes_fit).mapInArrow(_estimated, _PAIR))
-    edges = checkpointed(verified(likely, docs))
-    found = checkpointed(components(edges))
-    # buckets whose members are in several components: their members are compared block by block
+    edges = checkpointed(verified(likely, sets))
+    found = components(edges)
+    # buckets whose members are in several components
     named = members.join(found, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    split = named.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count("*").alias("n")).where("c1 <> c2").select("band", "n")
-    rest = named.join(split, "band").join(alone, "doc_id")
-    parts = F.ceil(F.col("n") / F.lit(_SALT)).cast("int")
-    rest = rest.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    rest = checkpointed(rest.select("band", "part", "parts", "doc_id", "n_shingles", "component", "sketch"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = rest.withColumn("other", other)
-    right = rest.withColumnRenamed("part", "other").withColumn("part", other)
-    cross = left.groupBy("band", "part", "other").cogroup(right.groupBy("band", "part", "other")).applyInArrow(_across, _PAIR)
-    cross = checkpointed(cross.distinct())
-    if not cross.isEmpty():
-        edges = edges.union(verified(cross, docs))
+    split = named.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band")
+    rest = named.join(split, "band").join(known, "doc_id").select("band", "doc_id", "n_shingles", "component", "sketch")
+    hints = checkpointed(_blocked(rest, "band", _hints).distinct())
+    if not hints.isEmpty():
+        # documents of components that may meet, in clusters
+        label = named.select("doc_id", "component").distinct()
+        label = checkpointed(label)
+        cluster = components(hints.union(label.where("doc_id <> component").select(F.col("component"), F.col("doc_id"))))
+        touched = cluster.join(hints.select(F.explode(F.array("a", "b")).alias("hit")).distinct(), F.col("node") == F.col("hit"), "left_semi").select(F.col("component").alias("cluster")).distinct()
+        inside = cluster.withColumnRenamed("component", "cluster").join(touched, "cluster").join(label, F.col("node") == F.col("doc_id")).drop("node")
+        inside = inside.join(known, "doc_id").join(sets, "doc_id").select("cluster", "doc_id", "n_shingles", "component", "sketch", "members")
+        edges = edges.union(checkpointed(_blocked(inside, "cluster", _settle)))
     return sketches, components(edges.union(equal))
 
 
