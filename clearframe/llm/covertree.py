@@ -47,15 +47,17 @@ def cover_tree(x: np.ndarray, ids: np.ndarray) -> Node:
         first = int(ids[points].min())
         if len(points) <= LEAF or radius == 0:
             return Node(center, radius, points, (), first)
-        children, rest, scale = [], points, radius * _RATIO
+        parts, rest, scale = [], points, radius * _RATIO
         center_at, near = at, away <= scale
         while len(rest):
-            children.append(build(rest[near], center_at))
+            parts.append((rest[near], center_at))
+            if len(parts) * LEAF > len(points):  # balls this small hold too few points to be worth a node
+                return Node(center, radius, points, (), first)
             rest = rest[~near]
             if len(rest):  # the next centre is outside all balls before: children stay apart
                 center_at = int(rest[0])
                 near = np.sqrt(((x[rest] - x[center_at]) ** 2).sum(1)) <= scale
-        return Node(center, radius, points, tuple(children), first)
+        return Node(center, radius, points, tuple(build(*part) for part in parts), first)
 
     points = np.arange(len(x))
     mean = x.mean(0)
@@ -85,9 +87,13 @@ def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) ->
             rows = a.points
             scores = np.concatenate([best[rows], queries[rows] @ data[b.points].T], 1)
             who = np.concatenate([names[rows], np.broadcast_to(ids[b.points], (len(rows), len(b.points)))], 1)
-            order = np.lexsort((who, -scores), axis=1)[:, :k]
-            best[rows] = np.take_along_axis(scores, order, 1)
-            names[rows] = np.take_along_axis(who, order, 1)
+            # entries below the row's kth score go before the exact order, in which ids break ties
+            row, col = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
+            order = np.lexsort((who[row, col], -scores[row, col], row))
+            row, col = row[order], col[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, rank = row[rank < k], col[rank < k], rank[rank < k]
+            best[rows[row], rank], names[rows[row], rank] = scores[row, col], who[row, col]
             continue
         open_b = b.children and (not a.children or b.radius >= a.radius)
         for x, y in [(a, c) for c in b.children] if open_b else [(c, b) for c in a.children]:
