@@ -39,7 +39,7 @@ MARGIN = 5 * math.sqrt(0.75 * 0.25 / REGISTERS)
 _CHUNK = 1 << 22
 _U = np.uint64
 #: Documents, and shingles, in a block of a bucket or cluster.
-_BLOCK, _BLOCK_SHINGLES = 512, 1 << 21
+_BLOCK, _BLOCK_SHINGLES = 2048, 1 << 20
 
 
 def text_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
