@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points that separate words in every contract: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -29,7 +31,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         configured = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return df.checkpoint(eager=True)
+    # new attributes on top: the optimizer cannot carry column statistics through a union of
+    # checkpoints under the old ones
+    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle and checkpoint files that nothing refers to any more.
+
+    Its cleaner follows the driver's garbage collection, which may not come for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

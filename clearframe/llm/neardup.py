@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, checkpointed, mix64, shingle_hashes, table, word_hashes
+from .common import WHITE, checkpointed, mix64, release, shingle_hashes, table, word_hashes
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -203,10 +203,17 @@ def _blocked(rows: DataFrame, key: str, run) -> DataFrame:
     sizes = rows.groupBy(key).agg(cost.cast("int").alias("parts")).withColumnRenamed(key, "of")
     rows = rows.join(sizes, F.col(key) == F.col("of")).drop("of").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
     rows = checkpointed(rows)
-    left = rows.withColumn("x", F.col("own")).withColumn("y", F.explode(F.sequence(F.col("own"), F.col("parts") - 1)))
-    right = rows.withColumn("y", F.col("own")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("own"))))
+    # most groups are one block, which meets only itself and is sent once
+    single = rows.where("parts = 1").groupBy(key).applyInArrow(_alone(run), "a long, b long")
+    large = rows.where("parts > 1")
+    left = large.withColumn("x", F.col("own")).withColumn("y", F.explode(F.sequence(F.col("own"), F.col("parts") - 1)))
+    right = large.withColumn("y", F.col("own")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("own"))))
     right = right.toDF(*right.columns)
-    return left.groupBy(key, "x", "y").cogroup(right.groupBy(key, "x", "y")).applyInArrow(run, "a long, b long")
+    return single.union(left.groupBy(key, "x", "y").cogroup(right.groupBy(key, "x", "y")).applyInArrow(run, "a long, b long"))
+
+
+def _alone(run):
+    return lambda block: run(block, block)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -259,20 +266,24 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     banded = alone.select("doc_id", F.explode(keys).alias("band"))
     heads = banded.groupBy("band").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1")
     members = checkpointed(banded.join(heads, "band").select("band", "a", "doc_id"))
+    release(docs.sparkSession)
     star = members.where("a <> doc_id").select("a", F.col("doc_id").alias("b")).distinct()
     busy = checkpointed(star.select(F.explode(F.array("a", "b")).alias("need")).distinct())
     sets = checkpointed(_sets_of(docs, busy))
+    release(docs.sparkSession)
     known = alone.join(busy, F.col("doc_id") == F.col("need"), "left_semi")
     side = lambda c: known.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     sizes_fit = 100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")
     likely = checkpointed(star.join(side("a"), "a").join(side("b"), "b").where(sizes_fit).mapInArrow(_estimated, _PAIR))
     edges = checkpointed(verified(likely, sets))
+    release(docs.sparkSession)
     found = components(edges)
     # buckets whose members are in several components
     named = members.join(found, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     split = named.groupBy("band").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("band")
     rest = named.join(split, "band").join(known, "doc_id").select("band", "doc_id", "n_shingles", "component", "sketch")
     hints = checkpointed(_blocked(rest, "band", _hints).distinct())
+    release(docs.sparkSession)
     if not hints.isEmpty():
         # documents of components that may meet, in clusters
         label = named.select("doc_id", "component").distinct()
