@@ -30,7 +30,8 @@ DECLARED, SUFFIX = 0.9, 0.8
 #: Trigrams of one text are not independent: their joint log likelihood counts this much of its sum,
 #: and no text counts as more than so many trigrams.
 TEMPER, MOST_TRIGRAMS = 0.3, 400.0
-ACCEPT = 0.6
+#: Texts in two languages are texts too; below this the language is open.
+ACCEPT = 0.3
 #: Mean log likelihood per trigram, relative to a uniform model, below which a text is no language.
 FLOOR = 0.0
 _BINS = 1 << 16
