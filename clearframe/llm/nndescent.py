@@ -23,10 +23,10 @@ from .covertree import finite, folded
 TOP = 20
 EVERY = 20
 #: Neighbours of a node in the graph, nodes a walk keeps, and rounds of each.
-NEIGHBOURS, POOL = 32, 96
-ROUNDS, STEPS = 8, 4
+NEIGHBOURS, POOL = 36, 192
+ROUNDS, STEPS = 8, 6
 #: The build stops when a round changes fewer edges than this share.
-ENOUGH = 0.01
+ENOUGH = 0.005
 #: Hyperplane trees that start the graph, and the nodes a cell holds.
 TREES, CELL = 3, 256
 #: Nodes in a bucket of local joins, and the members of one local join.
