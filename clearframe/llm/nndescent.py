@@ -31,6 +31,8 @@ ENOUGH = 0.005
 TREES, CELL = 3, 256
 #: Nodes in a bucket of local joins, and the members of one local join.
 BUCKET, JOIN = 512, 64
+#: Queries in a bucket of a walk: each brings some thousands of candidates at once.
+ASKED = 48
 SEED = 7
 
 
@@ -171,7 +173,7 @@ def search(nodes: DataFrame, graph: DataFrame, asked: DataFrame, pool: int = POO
     Queries are nodes of the graph (column ``ask``) and start at themselves.
     """
     m = asked.count()
-    buckets = max(1, -(-m // BUCKET))
+    buckets = max(1, -(-m // ASKED))
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets))
     links = graph.select(F.col("a").alias("from"), F.col("b").alias("node"))
     own = asked.join(nodes.select("node", "q"), F.col("ask") == F.col("node")).select("node", "q", bucket("ask").alias("bucket"))
