@@ -47,6 +47,14 @@ CLIENTS = {
 SQL_READ = ("select", "show", "explain", "describe")
 SQL_WRITE = ("insert", "update", "delete", "replace", "merge", "upsert", "create", "drop", "alter", "truncate", "grant", "revoke")
 
+#: Path arguments that file operations read and write, by position.
+FS_RULES = {
+    **{name: {"read": (0,)} for name in "readFile readdir access stat lstat realpath readlink".split()},
+    **{name: {"write": (0,)} for name in "writeFile appendFile mkdir rmdir rm unlink truncate chmod".split()},
+    "symlink": {"write": (1,)},
+    **{name: {"read": (0,), "write": (1,)} for name in "rename copyFile link".split()},
+}
+
 #: Calls with an http target: name -> (default action, whether an options argument names the method).
 HTTP = {
     "fetch": ("get", True), "globalThis.fetch": ("get", True), "undici.fetch": ("get", True), "node:http.get": ("get", False), "node:https.get": ("get", False),

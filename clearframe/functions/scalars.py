@@ -54,6 +54,14 @@ def path_glob_regex(pattern: str) -> str:
     return rf"^{out}\z"
 
 
+def path_glob_pattern(glob: Column) -> Column:
+    """The same for a column of globs."""
+    text = F.replace(_escaped(glob), F.lit("?"), F.lit("\\?"))
+    for mark, regex in (("**\\/", "\x01"), ("**", "\x02"), ("*", "[^/]*"), ("\x01", "(?:.*/)?"), ("\x02", ".*")):
+        text = F.replace(text, F.lit(mark), F.lit(regex))
+    return F.concat(F.lit("^"), text, F.lit(r"\z"))
+
+
 def sql_direction(text: Column) -> Column:
     word = F.lower(F.regexp_extract(text, r"(?i)^[\s(]*([a-z]+)", 1))
     return F.when(word.isin(*SQL_READ), "read").when(word.isin(*SQL_WRITE), "write").otherwise("both")

@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.fixed import EFFECTS, HTTP, PREFIXABLE, SQL_READ, SQL_WRITE, client_rows, stub_rows
-from ..operators import audit, coverage, diff, incremental, rules, workload
+from ..functions import requirements as Q
+from ..functions.fixed import BUILTIN_STUBS, EFFECTS, FS_RULES, HTTP, PREFIXABLE, SQL_READ, SQL_WRITE, client_rows, stub_rows
+from ..operators import audit, contracts, coverage, diff, incremental, rules, workload
 from ..operators import propagate as P
 
 from ..sources.facts import Facts
@@ -393,3 +394,68 @@ over_facts("l11_gaps", f"SELECT stream, batch, epoch(date_trunc('second', start_
 over_facts("l12_class_table", f"SELECT cls, count(*) AS n, quantile_disc(edits, 0.5) AS p50, quantile_disc(edits, 0.75) AS p75, quantile_disc(edits, 0.9) AS p90, max(edits) AS most, sum(edits)::BIGINT AS edits, round(count(*) / any_value(total), 6) AS share FROM (SELECT *, CASE WHEN edits = 1 THEN 'one' WHEN edits <= 5 THEN 'few' ELSE 'many' END AS cls, count(*) OVER () AS total FROM {_TABLE}) GROUP BY 1")(
     lambda f: workload.class_table(f.log_events)
 )
+
+# --- contracts of three sources -------------------------------------------------------------
+
+_MATCHES = """(SELECT sym, arg_min(key, (NOT exact, key)) AS key, bool_or(exact) AS exact, CASE WHEN bool_or(exact) THEN count(*) FILTER (WHERE exact) > 1 ELSE count(*) > 1 END AS ambiguous
+FROM fn f JOIN config c ON c.decl_sym = split_part(f.sym, '#', 2) AND (CASE c.decl_path WHEN 'lib/1*.ts' THEN regexp_matches(f.file, '^lib/1[^/]*\\.ts$') WHEN 'lib/**.ts' THEN regexp_matches(f.file, '^lib/.*\\.ts$') ELSE f.file = c.decl_path END) GROUP BY sym)"""
+_MERGED = f"""(SELECT t.sym, t.tag, CASE WHEN t.kind = 'none' AND coalesce(g.value, s.value) IS NOT NULL THEN 'declared' ELSE t.kind END AS kind,
+  CASE WHEN t.kind = 'none' THEN coalesce(g.value, s.value) ELSE t.value END AS value,
+  CASE WHEN t.kind = 'declared' THEN 'jsdoc' WHEN t.kind = 'none' AND g.value IS NOT NULL THEN 'config' WHEN t.kind = 'none' AND s.value IS NOT NULL THEN 'spec' END AS origin,
+  coalesce(t.kind = 'declared' AND t.value <> d.value, false) AS diverges
+FROM contract_tags t LEFT JOIN {_MATCHES} m ON m.sym = t.sym AND NOT m.ambiguous
+LEFT JOIN config_tags d ON d.key = m.key AND d.tag = t.tag LEFT JOIN config_tags g ON g.key = m.key AND g.tag = t.tag AND NOT (g.tag = 'entrypoint' AND g.value = 'false')
+LEFT JOIN (SELECT sym, tag, value FROM (SELECT sym, arg_min_null(caps, ord) AS capabilities, arg_min_null(budget, ord) AS budget FROM specs GROUP BY 1) UNPIVOT (value FOR tag IN (capabilities, budget))) s ON s.sym = t.sym AND s.tag = t.tag)"""
+_matches = lambda f: contracts.config_matches(f.config, f.fn)
+_merged = lambda f: contracts.merged(f.contract_tags, _matches(f), f.config_tags, f.specs)
+over_facts("j06_config_match", f"SELECT sym, key, exact, ambiguous FROM {_MATCHES}")(_matches)
+over_facts("j11_first_spec", "SELECT sym, tag, value FROM (SELECT sym, arg_min_null(caps, ord) AS capabilities, arg_min_null(budget, ord) AS budget FROM specs GROUP BY 1) UNPIVOT (value FOR tag IN (capabilities, budget))")(lambda f: contracts.first_specs(f.specs))
+_plain = lambda df: df.select("sym", "tag", "kind", _text("value"), _text("origin"), "diverges")
+over_facts("j12_merged_contracts", f"SELECT sym, tag, kind, coalesce(value, '') AS value, coalesce(origin, '') AS origin, diverges FROM {_MERGED}")(lambda f: _plain(_merged(f)))
+_WRAPPED = f"""(SELECT w.wrapper, w.caps, w.w_budget, c.sym IS NOT NULL AS found, c.kind AS ck, c.value AS cv, b.kind AS bk, b.value AS bv, e.kind AS ek FROM wrappers w
+LEFT JOIN merged c ON c.sym = w.handler AND c.tag = 'capabilities' LEFT JOIN merged b ON b.sym = w.handler AND b.tag = 'budget' LEFT JOIN merged e ON e.sym = w.handler AND e.tag = 'entrypoint')"""
+_FINDINGS = f"""WITH merged AS MATERIALIZED (SELECT * FROM {_MERGED}), w AS (SELECT * FROM {_WRAPPED})
+SELECT wrapper, 'AMB-W004' AS rule, 'no-handler' AS cause FROM w WHERE NOT found
+UNION ALL SELECT wrapper, 'AMB-W004', 'caps-not-literal' FROM w WHERE found AND ck <> 'invalid' AND caps IS NULL
+UNION ALL SELECT wrapper, 'AMB-W004', 'nothing-declared' FROM w WHERE found AND caps IS NOT NULL AND ck = 'none' AND ek = 'none'
+UNION ALL SELECT wrapper, 'AMB-E010', 'caps-differ' FROM w WHERE found AND caps IS NOT NULL AND ck <> 'invalid' AND NOT (ck = 'none' AND ek = 'none') AND caps <> coalesce(cv, '')
+UNION ALL SELECT wrapper, 'AMB-W004', 'budget-not-literal' FROM w WHERE found AND bk <> 'invalid' AND w_budget IS NULL
+UNION ALL SELECT wrapper, 'AMB-E011', 'budget-differs' FROM w WHERE found AND bk <> 'invalid' AND w_budget IS NOT NULL AND nullif(w_budget, 'none') IS DISTINCT FROM bv"""
+_wrapped = lambda f: contracts.wrapper_findings(f.wrappers, _merged(f))
+over_facts("j10_wrapper_handler", f"SELECT * FROM ({_FINDINGS})")(_wrapped)
+for _key, _rule in (("r13_wrapper_not_comparable", "AMB-W004"), ("r14_wrapper_capabilities", "AMB-E010"), ("r15_wrapper_budget", "AMB-E011")):
+    over_facts(_key, f"SELECT wrapper, cause FROM ({_FINDINGS}) WHERE rule = '{_rule}'")(lambda f, r=_rule: _wrapped(f).where(F.col("rule") == r).select("wrapper", "cause"))
+over_facts("r16_divergence", f"SELECT sym, tag FROM {_MERGED} WHERE diverges")(lambda f: _merged(f).where("diverges").select("sym", "tag"))
+over_facts("r17_unmatched_key", "SELECT DISTINCT key FROM config WHERE exact AND key NOT IN (SELECT sym FROM fn)")(lambda f: contracts.unmatched_exact(f.config, f.fn))
+over_facts("w03_approval_region", "SELECT side, line, sym FROM ledger_lines l WHERE line > coalesce((SELECT min(line) FROM ledger_lines h WHERE h.side = l.side AND h.heading), -1)")(lambda f: contracts.approval_region(f.ledger_lines).select("side", "line", "sym"))
+over_facts("w05_numbered_keys", "SELECT key || CASE WHEN n > 1 THEN ' #' || n ELSE '' END AS key, call_ord FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY call_ord) AS n FROM (SELECT sym || ':' || kind AS key, call_ord FROM calls))")(
+    lambda f: contracts.numbered_keys(f.calls.select(F.concat_ws(":", "sym", "kind").alias("key"), "call_ord"), "key", "call_ord")
+)
+
+# --- runtime requirements -------------------------------------------------------------------
+
+over_facts("f16_builtin_effect", f"SELECT name, effect FROM (VALUES {', '.join(repr(x) for x in BUILTIN_STUBS.items())}) t(name, effect)")(lambda f: f.spark.createDataFrame(list(BUILTIN_STUBS.items()), "name string, effect string"))
+over_facts("f33_fetch_requirement", "SELECT page_id, 'http:get:' || regexp_replace(host, CASE WHEN starts_with(url, 'https:') THEN ':443$' ELSE ':80$' END, '') AS cap FROM hosts JOIN pages USING (page_id) WHERE host <> '' AND contains(url, '://')")(
+    lambda f: f.pages.select("page_id", Q.fetch_requirement(F.lit("GET"), F.col("url")).alias("cap")).where("cap is not null")
+)
+_RESOLVED = "CASE WHEN event_id % 3 = 0 THEN '/srv/a/' WHEN event_id % 3 = 1 THEN '/srv/' ELSE '/' END || substr(path_a, CASE WHEN event_id % 3 = 0 THEN 11 WHEN event_id % 3 = 1 THEN 11 ELSE 2 END)"
+_OPS = sorted(FS_RULES)
+
+
+def _needs(*verbs: str) -> str:
+    rows = [(name, verb, position) for name in _OPS for verb in verbs for position in FS_RULES[name].get(verb, ())]
+    return "(VALUES " + ", ".join(repr(r) for r in rows) + ") r(name, verb, position)"
+
+
+over_facts("f34_file_requirements", f"SELECT event_id, 'fs:' || verb || ':' || CASE WHEN position = 0 THEN {_RESOLVED} ELSE path_b END AS cap FROM runtime_calls JOIN (VALUES {', '.join(repr(x) for x in enumerate(_OPS))}) o(i, opname) ON i = op JOIN {_needs('read', 'write')} ON name = opname")(
+    lambda f: f.runtime_calls.withColumn("opname", F.get(F.array(*map(F.lit, _OPS)), F.col("op").cast("int"))).select("event_id", F.explode(Q.file_requirements(F.col("opname"), F.array("path_a", "path_b"))).alias("cap"))
+)
+over_facts("f34_open_requirements", f"SELECT event_id, 'fs:' || verb || ':' || {_RESOLVED} AS cap FROM runtime_calls, (VALUES ('read'), ('write')) v(verb) WHERE (verb = 'read' AND (flags IS NULL OR flags <> 'w')) OR (verb = 'write' AND flags IN ('w', 'a+', 'r+'))")(
+    lambda f: f.runtime_calls.select("event_id", F.explode(Q.open_requirements(F.col("path_a"), F.col("flags"))).alias("cap"))
+)
+over_facts("f35_spawn_requirement", "SELECT event_id, 'proc:spawn:' || CASE WHEN kind = 'fork' THEN '/usr/bin/node' WHEN shell NOT IN ('true', 'false') THEN shell WHEN shell = 'true' OR kind = 'exec' THEN '/bin/sh' ELSE coalesce(command, 'unknown') END AS cap FROM runtime_calls")(
+    lambda f: f.runtime_calls.select("event_id", Q.spawn_requirement(F.col("kind"), F.col("command"), F.col("shell"), "/usr/bin/node").alias("cap"))
+)
+over_facts("f36_database_requirements", "SELECT event_id, 'db:' || verb || ':' || coalesce(nullif(db, ''), nullif(split_part(connection, '/', 4), ''), 'unknown') AS cap FROM runtime_calls, (VALUES ('read'), ('write')) v(verb) WHERE event_id % 3 = 2 OR (event_id % 3 = 0) = (verb = 'read')")(
+    lambda f: f.runtime_calls.select("event_id", F.explode(Q.database_requirements(F.col("db"), F.col("connection"), F.col("statement"))).alias("cap"))
+)

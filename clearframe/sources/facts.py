@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.fixed import EFFECTS
 
+_EFFECTS_TEXT = "concat_ws(',', " + ", ".join(f"max(CASE WHEN d.ord = {i} THEN d.token END)" for i in range(len(EFFECTS))) + ")"
 _ORDER = "l_orderkey, l_linenumber, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
 
 VIEWS: dict[str, str] = {
@@ -56,6 +57,40 @@ JOIN hosts h ON h.page_id = l.l_suppkey % (SELECT count(*) FROM pages)""",
     "ledger": """
 SELECT CASE WHEN o.o_orderstatus = 'F' THEN 'base' ELSE 'head' END AS side, o.o_orderkey AS line, f.sym, 'effect' AS kind, e.token AS name
 FROM orders o JOIN fn f ON f.id = o.o_custkey % (SELECT count(*) FROM part) JOIN effects e ON e.ord = o.o_orderkey % 9""",
+    "config": """
+SELECT id, sym AS key, file AS decl_path, 'f' || CAST(id AS STRING) AS decl_sym, TRUE AS exact FROM fn WHERE id % 11 = 0
+UNION ALL SELECT id, 'lib/1*.ts#f' || CAST(id AS STRING), 'lib/1*.ts', 'f' || CAST(id AS STRING), FALSE FROM fn WHERE id % 3 = 0
+UNION ALL SELECT id, 'lib/**.ts#f' || CAST(id AS STRING), 'lib/**.ts', 'f' || CAST(id AS STRING), FALSE FROM fn WHERE id % 26 = 0
+UNION ALL SELECT id, 'src/x.ts#f' || CAST(id AS STRING), 'src/x.ts', 'f' || CAST(id AS STRING), TRUE FROM fn WHERE id % 17 = 0""",
+    "config_tags": """
+SELECT key, 'effects' AS tag, CASE WHEN id % 2 = 0 THEN 'network' ELSE 'db_read,fs_read' END AS value FROM config WHERE id % 5 <> 0
+UNION ALL SELECT key, 'capabilities', 'http:get:*' FROM config WHERE id % 4 <> 1
+UNION ALL SELECT key, 'budget', 'timeMs=' || CAST(id % 2 * 1000 AS STRING) FROM config WHERE id % 5 <> 1
+UNION ALL SELECT key, 'boundary', CASE WHEN id % 2 = 0 THEN 'vendor' ELSE 'reviewed' END FROM config WHERE id % 7 = 0
+UNION ALL SELECT key, 'entrypoint', CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END FROM config WHERE id % 4 < 2""",
+    "contract_tags": f"""
+SELECT f.sym, 'effects' AS tag, f.eff_kind AS kind, CASE WHEN f.eff_kind = 'declared' THEN {_EFFECTS_TEXT} END AS value FROM fn f LEFT JOIN declared_effects d ON d.sym = f.sym GROUP BY f.sym, f.eff_kind
+UNION ALL SELECT f.sym, 'capabilities', f.cap_kind, d.resource || ':' || d.action || ':' || d.target FROM fn f LEFT JOIN declared_caps d ON d.sym = f.sym
+UNION ALL SELECT sym, 'budget', bud_kind, CASE WHEN bud_kind = 'declared' THEN 'timeMs=' || CAST(id % 3 * 1000 AS STRING) END FROM fn
+UNION ALL SELECT sym, 'boundary', bnd_kind, CASE WHEN bnd_kind = 'declared' THEN 'reviewed' END FROM fn
+UNION ALL SELECT sym, 'entrypoint', CASE WHEN entrypoint THEN 'declared' ELSE 'none' END, CASE WHEN entrypoint THEN 'true' END FROM fn""",
+    "specs": """
+SELECT sym, CAST(1 AS INT) AS ord, 'http:put:*' AS caps, 'timeMs=9000' AS budget FROM fn WHERE id % 6 = 1
+UNION ALL SELECT sym, CAST(2 AS INT), 'http:get:*', CASE WHEN id % 2 = 0 THEN 'timeMs=100' END FROM fn WHERE id % 3 = 1""",
+    "wrappers": """
+SELECT id AS wrapper, CASE WHEN id % 10 = 3 THEN 'gone#x' WHEN id % 10 <> 4 THEN sym END AS handler,
+  CASE WHEN id % 7 <> 2 THEN 'http:' || (CASE WHEN id % 2 = 0 THEN 'put' ELSE 'get' END) || ':*' END AS caps,
+  CASE WHEN id % 5 = 0 THEN 'none' WHEN id % 5 < 4 THEN 'timeMs=' || CAST(id % 3 * 1000 AS STRING) END AS w_budget
+FROM fn WHERE id % 4 < 2""",
+    "ledger_lines": "SELECT side, line, sym, line % 1000 = 17 AND side = 'head' AS heading FROM ledger",
+    "runtime_calls": """
+SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN '/srv/./a//' WHEN event_id % 3 = 1 THEN '/srv/b/../' ELSE '/' END || CAST(user_id AS STRING) AS path_a, '/out/' || event_type AS path_b,
+  CASE WHEN event_id % 5 = 0 THEN 'r' WHEN event_id % 5 = 1 THEN 'w' WHEN event_id % 5 = 2 THEN 'a+' WHEN event_id % 5 = 3 THEN 'r+' END AS flags,
+  CASE WHEN event_id % 3 = 0 THEN 'spawn' WHEN event_id % 3 = 1 THEN 'exec' ELSE 'fork' END AS kind,
+  CASE WHEN event_id % 4 < 3 THEN event_type END AS command, CASE WHEN event_id % 7 = 0 THEN 'true' WHEN event_id % 7 = 1 THEN '/bin/zsh' WHEN event_id % 7 = 2 THEN 'false' END AS shell,
+  CASE WHEN event_id % 4 = 0 THEN 'main' WHEN event_id % 4 = 1 THEN '' END AS db, CASE WHEN event_id % 5 < 3 THEN 'pg://u@h:5432/' || (CASE WHEN event_id % 5 = 2 THEN '' ELSE event_type END) END AS connection,
+  CASE WHEN event_id % 3 = 0 THEN 'select 1' WHEN event_id % 3 = 1 THEN 'INSERT x' ELSE 'with y' END AS statement, event_id % 19 AS op
+FROM events""",
     "audit_req": """
 SELECT user_id AS ctx, event_id AS seq, ts, value AS cost, 'http:' || (CASE WHEN event_type = 'purchase' THEN 'post' ELSE 'get' END) || ':' ||
   (CASE WHEN event_id % 3 = 0 THEN 'api.example.com' WHEN event_id % 3 = 1 THEN 'cdn.example.org' ELSE 'localhost:8080' END) AS cap FROM events""",
