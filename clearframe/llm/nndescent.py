@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: NN-descent builds the graph, greedy search answers queries.
 
-The graph starts from cells of random hyperplanes, within which neighbours are exact, and improves
-by joining neighbours of neighbours: each node's neighbours and reverse neighbours are compared
+The graph starts from cells of random hyperplanes, within which neighbours are exact, and from cells
+of nodes dealt by hash, so that a node alone in its cell of every tree has edges too.  It improves by
+joining neighbours of neighbours: each node's neighbours and reverse neighbours are compared
 with each other wherever one of the two is new, and an edge replaces a worse one.  Queries walk the
 graph greedily, always expanding the best nodes not yet expanded, until the best k stay the same.
 Distances in the build and the walk use vectors rounded to 8 bits; the result is scored exactly.
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, mix64, table
 from .covertree import finite, folded
 
 TOP = 20
@@ -49,19 +50,21 @@ def _decode(column) -> np.ndarray:
     return data[:, 4:].copy().view(np.int8).astype(np.float32) * data[:, :4].copy().view("<f4")
 
 
-def _encoded(depth_of: dict[int, int]):
-    """(node, q, cells): the 8-bit vector and the cell of each tree."""
+def _encoded(depth_of: dict[int, int], dealt_of: dict[int, int]):
+    """(node, q, cells): the 8-bit vector, the cell of each tree and last a cell by hash of the node."""
 
     def run(batches):
         for batch in batches:
             q, cells = [], []
-            for v in batch.column("v"):
+            names = mix64(batch.column("node").to_numpy().astype(np.uint64) + np.uint64(SEED))
+            for v, name in zip(batch.column("v"), names):
                 x = np.asarray(v.as_py(), np.float64)
                 scale = np.float32(max(np.abs(x).max(), 1e-30) / 127)
                 q.append(scale.tobytes() + np.clip(np.rint(x / scale), -127, 127).astype(np.int8).tobytes())
                 depth = depth_of[len(x)]
                 bits = (_planes(len(x), depth) @ x > 0).reshape(TREES, depth)
-                cells.append([int(b) for b in bits @ (1 << np.arange(depth))] if depth else [0] * TREES)
+                own = [int(b) for b in bits @ (1 << np.arange(depth))] if depth else [0] * TREES
+                cells.append([*own, int(name % np.uint64(dealt_of[len(x)]))])
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(q, pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["node", "q", "cells"])
 
     return run
@@ -130,7 +133,8 @@ def build(vectors: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS
     """
     dims = {r["dim"]: r["n"] for r in vectors.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()}
     depths = {d: max(0, math.ceil(math.log2(max(1, n / CELL)))) for d, n in dims.items()}
-    nodes = vectors.select("node", "v").mapInArrow(_encoded(depths), "node long, q binary, cells array<long>").withColumn("dim", F.length("q"))
+    dealt = {d: max(1, n // CELL) for d, n in dims.items()}
+    nodes = vectors.select("node", "v").mapInArrow(_encoded(depths, dealt), "node long, q binary, cells array<long>").withColumn("dim", F.length("q"))
     nodes = checkpointed(nodes)
     celled = nodes.select("node", "q", "dim", F.posexplode("cells").alias("tree", "cell"))
     slices = celled.groupBy("dim", "tree", "cell").agg(F.ceil(F.count("*") / F.lit(4.0 * CELL)).alias("parts")).withColumnsRenamed({"dim": "d", "tree": "t", "cell": "c"})

@@ -177,6 +177,25 @@ def test_nearest_neighbours_recall(spark, some_vectors):
     assert nndescent.nearest(vectors(spark, []), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_neighbours_reach_outliers(spark):
+    from pyspark.sql import functions as F
+
+    n, out, depth = 4000, 8, 4
+    rng = np.random.default_rng(30)
+    x = np.concatenate([1 + 0.05 * rng.normal(size=(n, 16)), -1 + 1.5 * rng.normal(size=(out, 16))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(float)
+    cells = (x @ nndescent._planes(16, depth).T > 0).reshape(n + out, nndescent.TREES, depth) @ (1 << np.arange(depth))
+    alone = [i for i in range(n, n + out) if all((cells[:, t] == cells[i, t]).sum() == 1 for t in range(nndescent.TREES))]
+    assert alone  # the case exists: no tree gives these an edge
+    got = nndescent.nearest(vectors(spark, [(i, v.tolist(), "x", None) for i, v in enumerate(x)]), F.col("vec_id") >= n, 20).collect()
+    by = {}
+    for row in got:
+        by.setdefault(row["query_id"], set()).add(row["vec_id"])
+    assert {q: len(r) for q, r in by.items()} == dict.fromkeys(range(n, n + out), 20)
+    hits = sum(len(by[q] & set([i for i in np.argsort(-(x @ x[q])) if i != q][:20])) for q in by)
+    assert hits / (20 * out) >= 0.9
+
+
 def test_licenses_match_brute_force(spark):
     def brute(text):
         grams = lambda t: (lambda w: list(zip(w, w[1:])))(re.findall("[a-z0-9]+", re.sub("[^\x00-\x7f]+", lambda m: "q" * 7, t.lower())))
