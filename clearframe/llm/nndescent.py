@@ -4,7 +4,7 @@ The graph starts from cells of random hyperplanes, within which neighbours are e
 of nodes dealt by hash, so that a node alone in its cell of every tree has edges too.  It improves by
 joining neighbours of neighbours: each node's neighbours and reverse neighbours are compared
 with each other wherever one of the two is new, and an edge replaces a worse one.  Queries walk the
-graph greedily, always expanding the best nodes not yet expanded, until the best k stay the same.
+graph greedily, always expanding the nodes of the pool not yet expanded, until none is left.
 Distances in the build and the walk use vectors rounded to 8 bits; the result is scored exactly.
 """
 
@@ -23,9 +23,9 @@ from .covertree import finite, folded
 
 TOP = 20
 EVERY = 20
-#: Neighbours of a node in the graph, nodes a walk keeps, and rounds of each.
+#: Neighbours of a node in the graph, nodes a walk keeps, and rounds of the build.
 NEIGHBOURS, POOL = 36, 192
-ROUNDS, STEPS = 8, 6
+ROUNDS = 8
 #: The build stops when a round changes fewer edges than this share.
 ENOUGH = 0.005
 #: Hyperplane trees that start the graph, and the nodes a cell holds.
@@ -171,10 +171,11 @@ def _walk_scores(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"ask": left["ask"], "node": left["node"], "s": pa.array(s.astype(np.float32))})
 
 
-def search(nodes: DataFrame, graph: DataFrame, asked: DataFrame, pool: int = POOL, steps: int = STEPS) -> DataFrame:
+def search(nodes: DataFrame, graph: DataFrame, asked: DataFrame, pool: int = POOL) -> DataFrame:
     """(ask, node): the pool that the walks of the query nodes end with, the query node included.
 
-    Queries are nodes of the graph (column ``ask``) and start at themselves.
+    Queries are nodes of the graph (column ``ask``) and start at themselves.  A walk ends when every
+    node of its pool is expanded; each step expands all that are not, and the pool only gets better.
     """
     m = asked.count()
     buckets = max(1, -(-m // ASKED))
@@ -184,7 +185,7 @@ def search(nodes: DataFrame, graph: DataFrame, asked: DataFrame, pool: int = POO
     own = checkpointed(own)
     big = F.lit(3.0e38).cast("float")
     state = checkpointed(asked.select("ask", F.col("ask").alias("node"), big.alias("s"), F.lit(False).alias("done")))
-    for _ in range(steps):
+    while not state.where("not done").isEmpty():
         front = state.where("not done").select("ask", F.col("node").alias("at"))
         reached = front.join(links, F.col("at") == F.col("from")).select("ask", "node").distinct()
         fresh = reached.join(state.select("ask", "node"), ["ask", "node"], "left_anti")
@@ -194,8 +195,6 @@ def search(nodes: DataFrame, graph: DataFrame, asked: DataFrame, pool: int = POO
         everything = state.withColumn("done", F.lit(True)).union(scored.withColumn("done", F.lit(False)))
         rank = F.row_number().over(W.partitionBy("ask").orderBy(F.desc("s"), "node"))
         state = checkpointed(everything.withColumn("r", rank).where(F.col("r") <= pool + 1).drop("r"))
-        if state.where("not done").isEmpty():
-            break
     return state.select("ask", "node")
 
 

@@ -196,6 +196,13 @@ def test_nearest_neighbours_reach_outliers(spark):
     assert hits / (20 * out) >= 0.9
 
 
+def test_walks_go_on_until_settled(spark):
+    nodes = spark.createDataFrame([(i, np.float32(1).tobytes() + bytes([i + 1])) for i in range(15)], "node long, q binary")
+    chain = spark.createDataFrame([(i, i + 1, float(i)) for i in range(14)], "a long, b long, s float")
+    found = nndescent.search(nodes, chain, spark.createDataFrame([(0,)], "ask long"), pool=20).collect()
+    assert {r["node"] for r in found} == set(range(15))
+
+
 def test_licenses_match_brute_force(spark):
     def brute(text):
         grams = lambda t: (lambda w: list(zip(w, w[1:])))(re.findall("[a-z0-9]+", re.sub("[^\x00-\x7f]+", lambda m: "q" * 7, t.lower())))
