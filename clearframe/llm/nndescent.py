@@ -3,7 +3,9 @@
 The graph starts from cells of random hyperplanes, within which neighbours are exact, and from cells
 of nodes dealt by hash, so that a node alone in its cell of every tree has edges too.  It improves by
 joining neighbours of neighbours: each node's neighbours and reverse neighbours are compared
-with each other wherever one of the two is new, and an edge replaces a worse one.  Queries walk the
+with each other wherever one of the two is new, and an edge replaces a worse one.  Large
+neighbourhoods are joined in slices, dealt anew each round; there a member counts as new for as many
+rounds as there are slices, so that it meets most of the others, though not surely all.  Queries walk the
 graph greedily, always expanding the nodes of the pool not yet expanded, until none is left.
 Distances in the build and the walk use vectors rounded to 8 bits; the result is scored exactly.
 """
@@ -121,7 +123,7 @@ def _local_join(group: pa.Table) -> pa.Table:
 
 def _best(edges: DataFrame, keep: int) -> DataFrame:
     """The best edges of each node; of two equal ones the older stays."""
-    one = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("fresh").alias("fresh"))
+    one = edges.groupBy("a", "b").agg(F.max("s").alias("s"), F.min("born").alias("born"))
     return one.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("s"), "b"))).where(F.col("r") <= keep).drop("r")
 
 
@@ -141,22 +143,21 @@ def build(vectors: DataFrame, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS
     at = (F.col("dim") == F.col("d")) & (F.col("tree") == F.col("t")) & (F.col("cell") == F.col("c"))
     celled = celled.join(slices, at).withColumn("slice", F.pmod(F.xxhash64("node", "tree"), F.col("parts")))
     edges = celled.select("node", "q", "dim", "tree", "cell", "slice").groupBy("dim", "tree", "cell", "slice").applyInArrow(_cell_edges, _EDGE)
-    graph = checkpointed(_best(edges.withColumn("fresh", F.lit(True)), neighbours))
+    graph = checkpointed(_best(edges.withColumn("born", F.lit(0)), neighbours))
     n = sum(dims.values())
     buckets = max(1, -(-n // BUCKET))
     worst = lambda g: g.groupBy("a").agg(F.min("s").alias("w"), F.count("*").alias("k"))
-    for _ in range(rounds):
-        both = graph.select(F.col("a").alias("center"), F.col("b").alias("member"), "fresh").union(graph.select(F.col("b"), F.col("a"), "fresh"))
-        both = both.groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
-        size = both.groupBy("center").agg(F.ceil(F.count("*") / F.lit(float(JOIN))).alias("parts"), F.max("fresh").alias("any")).where("any").select(F.col("center").alias("of"), "parts")
+    for last in range(rounds):
+        both = graph.select(F.col("a").alias("center"), F.col("b").alias("member"), "born").union(graph.select(F.col("b"), F.col("a"), "born"))
+        both = both.groupBy("center", "member").agg((F.lit(last) - F.max("born")).alias("age"))
+        size = both.groupBy("center").agg(F.ceil(F.count("*") / F.lit(float(JOIN))).alias("parts"), F.min("age").alias("least")).where("least < parts").select(F.col("center").alias("of"), "parts")
         limits = worst(graph).select(F.col("a").alias("node"), F.when(F.col("k") >= neighbours, F.col("w")).otherwise(F.lit(-3.0e38)).cast("float").alias("worst"))
         known = nodes.select("node", "q").join(limits, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(-3.0e38).cast("float")))
         joined = both.join(size, F.col("center") == F.col("of")).join(known, F.col("member") == F.col("node"))
-        joined = joined.select("center", F.pmod(F.xxhash64("member"), F.col("parts")).alias("slice"), "member", "fresh", "worst", "q", F.pmod(F.xxhash64("center"), F.lit(buckets)).alias("bucket"))
+        joined = joined.select("center", F.pmod(F.xxhash64("member", F.lit(last)), F.col("parts")).alias("slice"), "member", (F.col("age") < F.col("parts")).alias("fresh"), "worst", "q", F.pmod(F.xxhash64("center"), F.lit(buckets)).alias("bucket"))
         new = joined.groupBy("bucket").applyInArrow(_local_join, _EDGE)
-        old = graph.select("a", "b", "s").withColumn("fresh", F.lit(False))
-        graph = checkpointed(_best(old.union(new.withColumn("fresh", F.lit(True))), neighbours))
-        if graph.where("fresh").count() < ENOUGH * neighbours * n:
+        graph = checkpointed(_best(graph.select("a", "b", "s", "born").union(new.withColumn("born", F.lit(last + 1))), neighbours))
+        if graph.where(F.col("born") > last).count() < ENOUGH * neighbours * n:
             break
     return nodes, graph.select("a", "b", "s")
 

@@ -203,6 +203,19 @@ def test_walks_go_on_until_settled(spark):
     assert {r["node"] for r in found} == set(range(15))
 
 
+def test_sliced_neighbourhoods_meet_anew(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "CELL", 16)
+    monkeypatch.setattr(nndescent, "JOIN", 8)
+    x = np.random.default_rng(6).normal(size=(400, 24)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    _, graph = nndescent.build(vectors(spark, [(i, v.tolist(), "x", None) for i, v in enumerate(x)]).selectExpr("vec_id AS node", "embedding AS v"))
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    best = {(a, b) for a, row in enumerate(np.argsort(-s, axis=1)[:, :20]) for b in row}
+    recall = len(best & {(r["a"], r["b"]) for r in graph.collect()}) / len(best)
+    assert recall >= 0.9
+
+
 def test_licenses_match_brute_force(spark):
     def brute(text):
         grams = lambda t: (lambda w: list(zip(w, w[1:])))(re.findall("[a-z0-9]+", re.sub("[^\x00-\x7f]+", lambda m: "q" * 7, t.lower())))
