@@ -8,11 +8,13 @@ is unknown where it has none.  The result is the least fixed point.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.lineage import checkpointed, closure
+from ..functions.fixed import EFFECTS
+from ..plans.lineage import checkpointed, closure, fixed_point
 from ..sources.facts import Facts
 
 UNKNOWN = "?"
@@ -23,13 +25,20 @@ def leaves_unknown() -> Column:
     return (F.col("kind") == "unresolved") | F.coalesce((F.col("kind") == "mutation") & F.col("unknown_callback"), F.lit(False))
 
 
-def snapshots(facts: Facts) -> tuple[DataFrame, DataFrame]:
-    """(functions, calls) of the snapshots all, base and head."""
-    both = facts.fn.withColumn("snap", F.explode(F.array(F.lit("all"), F.lit("base"), F.lit("head"))))
-    inside = (F.col("snap") == "all") | ((F.col("snap") == "base") & (F.col("id") % 20 != 0)) | ((F.col("snap") == "head") & (F.col("id") % 20 != 1))
-    fn = both.where(inside)
-    calls = facts.calls.join(fn.select("sym", "snap"), "sym").where((F.col("snap") != "base") | (F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp")))
-    return fn, calls
+SNAPSHOTS = ("all", "base", "head")
+
+
+def in_snapshot(snap: str, fn: DataFrame) -> DataFrame:
+    """The functions of a snapshot: base and head lack different ones."""
+    rest = {"all": F.lit(True), "base": F.col("id") % 20 != 0, "head": F.col("id") % 20 != 1}[snap]
+    return fn.where(rest).withColumn("snap", F.lit(snap))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def direct_tokens(calls: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -60,29 +69,95 @@ def nodes(fn: DataFrame) -> DataFrame:
     return fn.select("snap", "sym", (F.col("bnd_kind") == "declared").alias("boundary"), F.explode(kinds).alias("k")).select("snap", "k.lattice", "sym", (F.col("k.kind") == "declared").alias("declared"), "boundary")
 
 
-class Propagation:
-    """Direct tokens, state, contributions and witnesses of all snapshots."""
+#: Effects travel as one mask a function; the last bit is unknown.
+_BITS = (*EFFECTS, UNKNOWN)
+
+
+def masked(tokens: DataFrame) -> DataFrame:
+    """Tokens (snap, lattice, sym, token) as (snap, lattice, grp, node, mask).
+
+    The effects of a function are one row, grp empty; every other token is a row with one bit.
+    """
+    bits = F.create_map(*[F.lit(x) for i, e in enumerate(_BITS) for x in (e, 1 << i)])
+    bit = F.when(F.col("lattice") == "e", bits[F.col("token")])
+    return tokens.select("snap", "lattice", F.when(bit.isNotNull(), F.lit("")).otherwise(F.col("token")).alias("grp"), F.col("sym").alias("node"), F.coalesce(bit, F.lit(1)).cast("long").alias("mask"))
+
+
+def unmasked(rows: DataFrame) -> DataFrame:
+    names = F.array(*[F.when(F.col("mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(e)) for i, e in enumerate(_BITS)])
+    tokens = F.when(F.col("grp") == "", F.filter(names, lambda t: t.isNotNull())).otherwise(F.array("grp"))
+    return rows.select("snap", "lattice", F.col("node").alias("sym"), F.explode(tokens).alias("token"))
+
+
+class Program:
+    """The facts of a program; call sites are classified once and kept, snapshots share them."""
 
     def __init__(self, facts: Facts):
-        self.facts = facts
-        fn, calls = snapshots(facts)
-        self.fn, self.calls = checkpointed(fn), checkpointed(calls)
-        self.nodes = checkpointed(nodes(self.fn))
-        self.declared = checkpointed(self.nodes.where("declared").join(declared_tokens(facts), ["lattice", "sym"]).select(*TOKEN))
-        self.direct = checkpointed(direct_tokens(self.calls))
+        self.facts, self._at = facts, {}
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        return checkpointed(self.facts.calls)
+
+    def at(self, *snaps: str) -> Propagation:
+        if snaps not in self._at:
+            self._at[snaps] = Propagation(self, snaps)
+        return self._at[snaps]
+
+
+class Propagation:
+    """Direct tokens, state, contributions and witnesses of some snapshots, each made when asked for."""
+
+    def __init__(self, program: Program, snaps: tuple[str, ...]):
+        self.program, self.facts, self.snaps = program, program.facts, snaps
+
+    @cached_property
+    def fn(self) -> DataFrame:
+        return _union([in_snapshot(s, self.facts.fn) for s in self.snaps])
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        parts = []
+        for snap in self.snaps:
+            own = self.program.calls.withColumn("snap", F.lit(snap))
+            if snap != "all":
+                own = own.join(in_snapshot(snap, self.facts.fn).select("sym"), "sym", "left_semi")
+            parts.append(own.where(F.col("l_shipdate") < F.lit("2001-01-01").cast("timestamp")) if snap == "base" else own)
+        return _union(parts)
+
+    @cached_property
+    def nodes(self) -> DataFrame:
+        return nodes(self.fn)
+
+    @cached_property
+    def declared(self) -> DataFrame:
+        return self.nodes.where("declared").join(declared_tokens(self.facts), ["lattice", "sym"]).select(*TOKEN)
+
+    @cached_property
+    def direct(self) -> DataFrame:
+        return direct_tokens(self.calls)
+
+    @cached_property
+    def edges(self) -> DataFrame:
         inner = self.nodes.where("not boundary").select("snap", "lattice", F.col("sym").alias("caller"))
         resolved = self.calls.where("kind = 'resolved'").select("snap", F.col("sym").alias("caller"), "callee").distinct()
-        self.edges = checkpointed(inner.join(resolved, ["snap", "caller"]))
+        return resolved.join(inner, ["snap", "caller"])
+
+    @cached_property
+    def state(self) -> DataFrame:
         pinned = self.nodes.where("boundary").join(self.declared, ["snap", "lattice", "sym"], "left").where("declared = (token is not null)")
         pinned = pinned.select("snap", "lattice", "sym", F.when(F.col("declared"), F.col("token")).otherwise(UNKNOWN).alias("token"))
         own = self.direct.join(self.nodes.where("not boundary"), ["snap", "lattice", "sym"]).select(*TOKEN)
-        trusted = self.edges.join(self.declared.withColumnRenamed("sym", "callee"), ["snap", "lattice", "callee"]).select("snap", "lattice", F.col("caller").alias("sym"), "token")
-        seeds = pinned.unionByName(own).unionByName(trusted).withColumnRenamed("sym", "node")
+        edges = checkpointed(self.edges)
+        trusted = edges.join(self.declared.withColumnRenamed("sym", "callee"), ["snap", "lattice", "callee"]).select("snap", "lattice", F.col("caller").alias("sym"), "token")
         open_ = self.nodes.where("not declared").select("snap", "lattice", F.col("sym").alias("callee"))
-        edges = self.edges.join(open_, ["snap", "lattice", "callee"]).select("snap", "lattice", F.col("callee").alias("src"), F.col("caller").alias("dst"))
-        self.state = checkpointed(closure(seeds, edges, ["snap", "lattice", "token"]).withColumnRenamed("node", "sym").select(*TOKEN))
+        moving = edges.join(open_, ["snap", "lattice", "callee"]).select("snap", "lattice", F.col("callee").alias("src"), F.col("caller").alias("dst"))
+        return unmasked(fixed_point(masked(pinned.unionByName(own).unionByName(trusted)), moving, ["snap", "lattice", "grp"]))
+
+    @cached_property
+    def contribution(self) -> DataFrame:
         undeclared = self.state.join(self.nodes.where("not declared"), ["snap", "lattice", "sym"], "left_semi")
-        self.contribution = checkpointed(undeclared.unionByName(self.declared))
+        return undeclared.unionByName(self.declared)
 
     def inherited(self, *extra: str) -> DataFrame:
         """(snap, lattice, sym, extra.., token, call_ord, callee): what each resolved call brings."""
@@ -108,19 +183,14 @@ class Propagation:
         return own.distinct().join(several, ["snap", "sym"], "left_semi").join(free, ["snap", "sym"], "left_semi")
 
 
-def witness_paths(witnesses: DataFrame, starts: DataFrame, limit: int = 100_000) -> DataFrame:
-    """(start columns.., hop_ix, hop): each start followed along its witnesses, no node twice."""
-    keys = TOKEN
-    step = checkpointed(witnesses.select("snap", "lattice", F.col("sym").alias("at"), "token", F.col("callee").alias("next")))
-    front = checkpointed(starts.select(*keys).distinct().select(*keys, F.col("sym").alias("at"), F.lit(0).alias("hop_ix")))
-    seen = front
-    for _ in range(limit):
-        moved = front.join(step, ["snap", "lattice", "at", "token"]).select(*keys, F.col("next").alias("at"), (F.col("hop_ix") + 1).alias("hop_ix"))
-        front = checkpointed(moved.join(seen, [*keys, "at"], "left_anti"))
-        if front.isEmpty():
-            return seen.where("hop_ix > 0").withColumnRenamed("at", "hop")
-        seen = seen.union(front)
-    raise RuntimeError("a path did not end")
+def witness_paths(witnesses: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start columns.., hop_ix, hop): each start followed along its witnesses, no node twice.
+
+    A node has one witness for a token, so what a start reaches in round n is its nth hop.
+    """
+    step = witnesses.select("snap", "lattice", "token", F.col("sym").alias("src"), F.col("callee").alias("dst"))
+    seeds = starts.select(*TOKEN, F.col("sym").alias("node"))
+    return closure(seeds, step, TOKEN, born=True).where("born > 0").select(*TOKEN, F.col("node").alias("hop"), F.col("born").alias("hop_ix"))
 
 
 def excess_capabilities(required: DataFrame, granted: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,7 +215,7 @@ def excess(p: Propagation) -> DataFrame:
 
 def records(p: Propagation) -> DataFrame:
     """One row for each function: effective authority as sorted texts, unknown flags, kinds."""
-    rank = F.create_map(*[F.lit(x) for i, e in enumerate(_effects()) for x in (e, i)])
+    rank = F.create_map(*[F.lit(x) for i, e in enumerate(EFFECTS) for x in (e, i)])
     known = F.col("token") != UNKNOWN
     held = p.contribution.groupBy("snap", "sym").agg(
         F.array_sort(F.collect_list(F.when(known & (F.col("lattice") == "e"), F.struct(rank[F.col("token")].alias("r"), F.col("token").alias("t"))))).alias("effects"),
@@ -160,18 +230,8 @@ def records(p: Propagation) -> DataFrame:
     )
 
 
-def _effects() -> tuple[str, ...]:
-    from ..functions.fixed import EFFECTS
-
-    return EFFECTS
-
-
 def unresolved_operations(p: Propagation) -> DataFrame:
     """(snap, sym, reason, operation, n): a multiset without positions; none below a boundary."""
     inner = p.fn.where("bnd_kind <> 'declared'").select("snap", "sym")
     reason = F.when(F.col("kind") == "mutation", "callback-by-reference").otherwise(F.col("reason"))
     return p.calls.where(leaves_unknown()).join(inner, ["snap", "sym"], "left_semi").groupBy("snap", "sym", reason.alias("reason"), "operation").agg(F.count("*").alias("n"))
-
-
-def body_ordinals(bodies: DataFrame) -> DataFrame:
-    return bodies.withColumn("ord", F.row_number().over(W.partitionBy("snap", "sym").orderBy("body_ix")))

@@ -17,18 +17,34 @@ from ..operators import propagate as P
 from ..sources.facts import Facts
 from .oracle import glob, statement
 
-_MEMO: dict[tuple[str, str], P.Propagation] = {}
-
-
-def propagation(spark: SparkSession, sf_dir: str) -> P.Propagation:
-    """The fixed point of a folder, computed once in a session: its tables are checkpoints."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+_MEMO: dict[tuple, P.Program] = {}
+
+
+def _stamp(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files of the fact tables with their lengths and times."""
+    out, jvm = [], spark._jvm
+    for name in ("lineitem", "part", "pages", "orders"):
+        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(path):
+            files = fs.listFiles(path, True)
+            while files.hasNext():
+                f = files.next()
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def program(spark: SparkSession, sf_dir: str) -> P.Program:
+    """The program in a folder; kept for the session as long as its files stay the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, _stamp(spark, sf_dir))
     if key not in _MEMO:
         _MEMO.clear()
-        _MEMO[key] = P.Propagation(Facts(spark, sf_dir))
+        _MEMO[key] = P.Program(Facts(spark, sf_dir))
     return _MEMO[key]
 
 
+#: Snapshots of a comparison.
+BOTH = ("base", "head")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -42,9 +58,11 @@ def over_facts(key: str, sql: str | None):
     return take
 
 
-def over_state(key: str, sql: str | None):
+def over_state(key: str, sql: str | None, snaps: tuple[str, ...] = ("all",)):
+    """Registers a query over the propagation of the snapshots it reads."""
+
     def take(build: Callable[[P.Propagation], DataFrame]):
-        QUERIES[key] = lambda spark, sf_dir: build(propagation(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: build(program(spark, sf_dir).at(*snaps))
         if sql:
             ORACLES[key] = statement(sql)
 
@@ -80,7 +98,7 @@ over_state("p04_effective_authority", "SELECT snap, lattice, sym, token FROM con
 over_state("p05_holds_authority", "SELECT f.sym, EXISTS (SELECT 1 FROM contribution k WHERE k.snap = 'all' AND k.sym = f.sym AND k.token <> '?') AS holds FROM snapfn f WHERE f.snap = 'all'")(
     lambda p: p.fn.where("snap = 'all'").select("sym").join(p.contribution.where("snap = 'all' and token <> '?'").select("sym", F.lit(True).alias("h")).distinct(), "sym", "left").select("sym", F.coalesce("h", F.lit(False)).alias("holds"))
 )
-over_state("p06_body_view", "SELECT sym, body_ix::INTEGER AS body_ix, lattice, token FROM holdings WHERE snap = 'head'")(
+over_state("p06_body_view", "SELECT sym, body_ix::INTEGER AS body_ix, lattice, token FROM holdings WHERE snap = 'head'", ("head",))(
     lambda p: diff.holdings(p).where("snap = 'head'").select("sym", F.col("body_ix").cast("int").alias("body_ix"), "lattice", "token")
 )
 _RECORDS = """SELECT f.sym, f.eff_kind, f.cap_kind, f.entrypoint,
@@ -89,10 +107,10 @@ _RECORDS = """SELECT f.sym, f.eff_kind, f.cap_kind, f.entrypoint,
   coalesce(g.eff_unknown, false) AS eff_unknown, coalesce(g.cap_unknown, false) AS cap_unknown
 FROM snapfn f LEFT JOIN flags g ON g.snap = 'all' AND g.sym = f.sym WHERE f.snap = 'all'"""
 over_state("p07_authority_records", _RECORDS)(lambda p: P.records(p).where("snap = 'all'").drop("snap"))
-over_state("p08_diff_views", "SELECT status, change, count(DISTINCT sym) AS symbols, count(*) AS refs FROM changes GROUP BY ALL")(
+over_state("p08_diff_views", "SELECT status, change, count(DISTINCT sym) AS symbols, count(*) AS refs FROM changes GROUP BY ALL", BOTH)(
     lambda p: diff.authority_changes(p).groupBy("status", "change").agg(F.countDistinct("sym").alias("symbols"), F.count("*").alias("refs"))
 )
-over_state("p09_diff_verdict", "SELECT coalesce(bool_or(change = 'added'), false) AS increase, (SELECT count(*) > 0 FROM ops) AS any_unresolved FROM changes")(
+over_state("p09_diff_verdict", "SELECT coalesce(bool_or(change = 'added'), false) AS increase, (SELECT count(*) > 0 FROM ops) AS any_unresolved FROM changes", P.SNAPSHOTS)(
     lambda p: diff.authority_changes(p).agg(F.coalesce(F.bool_or(F.col("change") == "added"), F.lit(False)).alias("increase")).crossJoin(P.unresolved_operations(p).agg((F.count("*") > 0).alias("any_unresolved")))
 )
 _STRICT_GLOB = "lib/1*.ts"
@@ -103,7 +121,7 @@ over_state("p10_strict_promotion", f"SELECT sym, CASE WHEN regexp_matches(file,
         F.col("file").rlike(S.path_glob_regex(_STRICT_GLOB)),
     ).select("sym", "severity")
 )
-over_state("p11_comparable", "SELECT in_base AND in_head AS comparable, count(*) AS n FROM presence GROUP BY 1")(
+over_state("p11_comparable", "SELECT in_base AND in_head AS comparable, count(*) AS n FROM presence GROUP BY 1", BOTH)(
     lambda p: p.fn.where("snap <> 'all'").groupBy("sym").agg((F.count("*") == 2).alias("comparable")).groupBy("comparable").agg(F.count("*").alias("n"))
 )
 
@@ -112,7 +130,7 @@ over_state("p11_comparable", "SELECT in_base AND in_head AS comparable, count(*)
 over_state("j01_call_callee", "SELECT c.sym, c.call_ord, c.callee, f.eff_kind FROM scalls c JOIN snapfn f ON f.snap = c.snap AND f.sym = c.callee WHERE c.snap = 'all' AND c.kind = 'resolved'")(
     lambda p: p.calls.where("snap = 'all' and kind = 'resolved'").select("sym", "call_ord", "callee").join(p.fn.where("snap = 'all'").select(F.col("sym").alias("callee"), "eff_kind"), "callee").select("sym", "call_ord", "callee", "eff_kind")
 )
-over_state("j03_full_outer_records", "SELECT coalesce(b.sym, h.sym) AS sym, b.sym IS NOT NULL AS in_base, h.sym IS NOT NULL AS in_head FROM (SELECT sym FROM snapfn WHERE snap = 'base') b FULL JOIN (SELECT sym FROM snapfn WHERE snap = 'head') h ON b.sym = h.sym")(
+over_state("j03_full_outer_records", "SELECT coalesce(b.sym, h.sym) AS sym, b.sym IS NOT NULL AS in_base, h.sym IS NOT NULL AS in_head FROM (SELECT sym FROM snapfn WHERE snap = 'base') b FULL JOIN (SELECT sym FROM snapfn WHERE snap = 'head') h ON b.sym = h.sym", BOTH)(
     lambda p: p.fn.where("snap = 'base'").select("sym", F.lit(True).alias("b")).join(p.fn.where("snap = 'head'").select("sym", F.lit(True).alias("h")), "sym", "full_outer").select("sym", F.col("b").isNotNull().alias("in_base"), F.col("h").isNotNull().alias("in_head"))
 )
 
@@ -125,19 +143,19 @@ def _renamed(p: P.Propagation) -> DataFrame:
     return moved.join(base.select("sym"), "sym", "left_anti").select("old", "sym")
 
 
-over_state("j04_renamed_symbols", "SELECT sym AS old, replace(file, 'lib/2', 'lib/1') || '#' || split_part(sym, '#', 2) AS sym FROM snapfn f WHERE snap = 'base' AND file LIKE 'lib/2%' AND NOT EXISTS (SELECT 1 FROM snapfn g WHERE g.snap = 'base' AND g.sym = replace(f.file, 'lib/2', 'lib/1') || '#' || split_part(f.sym, '#', 2))")(_renamed)
+over_state("j04_renamed_symbols", "SELECT sym AS old, replace(file, 'lib/2', 'lib/1') || '#' || split_part(sym, '#', 2) AS sym FROM snapfn f WHERE snap = 'base' AND file LIKE 'lib/2%' AND NOT EXISTS (SELECT 1 FROM snapfn g WHERE g.snap = 'base' AND g.sym = replace(f.file, 'lib/2', 'lib/1') || '#' || split_part(f.sym, '#', 2))", ("base",))(_renamed)
 over_state("j05_capability_excess", "SELECT sym, token FROM excess WHERE snap = 'all' AND lattice = 'c'")(lambda p: P.excess(p).where("snap = 'all' and lattice = 'c'").select("sym", "token"))
 over_facts("j07_strict_files", "SELECT sym FROM fn WHERE regexp_matches(file, '^lib/(?:.*/)?[^/]*4\\.ts$')")(lambda f: f.fn.where(F.col("file").rlike(S.path_glob_regex("lib/**/*4.ts"))).select("sym"))
 over_facts("j08_unmatched_config", "SELECT 'lib/' || CAST(p_size AS VARCHAR) || '.ts#f' || CAST(p_partkey AS VARCHAR) AS key FROM part WHERE NOT EXISTS (SELECT 1 FROM fn WHERE sym = 'lib/' || CAST(p_size AS VARCHAR) || '.ts#f' || CAST(p_partkey AS VARCHAR))")(
     lambda f: f.part.select(F.format_string("lib/%s.ts#f%s", F.col("p_size").cast("string"), F.col("p_partkey").cast("string")).alias("key")).join(f.fn.select(F.col("sym").alias("key")), "key", "left_anti")
 )
-over_state("j09_ledger_match", "SELECT coalesce(i.sym, f.sym) AS symbol, coalesce(i.kind, f.kind) AS kind, coalesce(i.name, f.name) AS name, CASE WHEN i.sym IS NULL THEN 'unused' WHEN f.line IS NULL THEN 'unapproved' ELSE 'approved' END AS status, coalesce(f.line, -1) AS line FROM (SELECT *, row_number() OVER (PARTITION BY sym, kind, name) AS slot FROM increase) i FULL JOIN force f ON f.sym = i.sym AND f.kind = i.kind AND f.name = i.name AND f.slot = i.slot")(
+over_state("j09_ledger_match", "SELECT coalesce(i.sym, f.sym) AS symbol, coalesce(i.kind, f.kind) AS kind, coalesce(i.name, f.name) AS name, CASE WHEN i.sym IS NULL THEN 'unused' WHEN f.line IS NULL THEN 'unapproved' ELSE 'approved' END AS status, coalesce(f.line, -1) AS line FROM (SELECT *, row_number() OVER (PARTITION BY sym, kind, name) AS slot FROM increase) i FULL JOIN force f ON f.sym = i.sym AND f.kind = i.kind AND f.name = i.name AND f.slot = i.slot", BOTH)(
     lambda p: diff.review(diff.increases(p), diff.ledger_rows(p.facts)).withColumn("line", F.coalesce("line", F.lit(-1)))
 )
 over_state("j13_direct_callers", "SELECT callee AS sym, count(DISTINCT sym) AS callers FROM scalls WHERE snap = 'all' AND kind = 'resolved' GROUP BY 1")(
     lambda p: p.calls.where("snap = 'all' and kind = 'resolved'").groupBy(F.col("callee").alias("sym")).agg(F.countDistinct("sym").alias("callers")).select("sym", "callers")
 )
-over_state("j14_parity", "SELECT coalesce(b.sym, h.sym) AS sym, coalesce(b.call_ord, h.call_ord) AS call_ord, CASE WHEN b.sym IS NULL THEN 'head-only' WHEN h.sym IS NULL THEN 'base-only' WHEN b.kind = h.kind AND b.callee IS NOT DISTINCT FROM h.callee THEN 'agreed' ELSE 'disagreed' END AS parity FROM (SELECT * FROM scalls WHERE snap = 'base') b FULL JOIN (SELECT * FROM scalls WHERE snap = 'head') h ON b.sym = h.sym AND b.call_ord = h.call_ord")(
+over_state("j14_parity", "SELECT coalesce(b.sym, h.sym) AS sym, coalesce(b.call_ord, h.call_ord) AS call_ord, CASE WHEN b.sym IS NULL THEN 'head-only' WHEN h.sym IS NULL THEN 'base-only' WHEN b.kind = h.kind AND b.callee IS NOT DISTINCT FROM h.callee THEN 'agreed' ELSE 'disagreed' END AS parity FROM (SELECT * FROM scalls WHERE snap = 'base') b FULL JOIN (SELECT * FROM scalls WHERE snap = 'head') h ON b.sym = h.sym AND b.call_ord = h.call_ord", BOTH)(
     lambda p: _parity(p)
 )
 
@@ -166,18 +184,18 @@ _COUNTED = "FROM scalls c JOIN snapfn f ON f.snap = c.snap AND f.sym = c.sym WHE
 over_state("a06_callsites_by_kind", f"SELECT c.kind, count(*) AS n {_COUNTED} GROUP BY 1")(coverage.by_kind)
 over_state("a07_unresolved_by_reason", f"SELECT c.reason, count(*) AS n {_COUNTED} AND c.kind = 'unresolved' GROUP BY 1")(coverage.by_reason)
 over_facts("a08_skipped_by_kind", "SELECT event_type AS kind, sum(user_id)::BIGINT AS n FROM events GROUP BY 1")(lambda f: f.events.groupBy(F.col("event_type").alias("kind")).agg(F.sum("user_id").alias("n")))
-over_state("a09_bodies_holding", "SELECT sym, lattice, token, base, head FROM counts WHERE base <> head")(
+over_state("a09_bodies_holding", "SELECT sym, lattice, token, base, head FROM counts WHERE base <> head", BOTH)(
     lambda p: (lambda held, every: every.join(diff._holders(held, every, "base"), ["sym", "lattice", "token"], "left").join(diff._holders(held, every, "head"), ["sym", "lattice", "token"], "left").na.fill(0, ["base", "head"]).where("base <> head"))(
         diff.holdings(p).where("snap <> 'all'"), p.contribution.where("token <> '?' and snap <> 'all'").select("sym", "lattice", "token").distinct()
     )
 )
-over_state("a10_unknown_bodies", "SELECT snap, sym, count(DISTINCT body_ix) AS n FROM holdings WHERE token = '?' AND snap <> 'all' GROUP BY ALL")(
+over_state("a10_unknown_bodies", "SELECT snap, sym, count(DISTINCT body_ix) AS n FROM holdings WHERE token = '?' AND snap <> 'all' GROUP BY ALL", BOTH)(
     lambda p: diff.holdings(p).where("token = '?' and snap <> 'all'").groupBy("snap", "sym").agg(F.countDistinct("body_ix").alias("n"))
 )
 over_state("a11_callers_affected", "SELECT e.sym, count(DISTINCT c.sym) AS callers FROM (SELECT DISTINCT sym FROM excess WHERE snap = 'all' AND lattice = 'e') e JOIN scalls c ON c.snap = 'all' AND c.callee = e.sym GROUP BY 1")(
     lambda p: P.excess(p).where("snap = 'all' and lattice = 'e'").select("sym").distinct().join(p.calls.where("snap = 'all'").select(F.col("callee").alias("sym"), F.col("sym").alias("caller")), "sym").groupBy("sym").agg(F.countDistinct("caller").alias("callers"))
 )
-over_state("a12_parity_counts", "SELECT parity, count(*) AS n FROM (SELECT CASE WHEN b.sym IS NULL THEN 'head-only' WHEN h.sym IS NULL THEN 'base-only' WHEN b.kind = h.kind AND b.callee IS NOT DISTINCT FROM h.callee THEN 'agreed' ELSE 'disagreed' END AS parity FROM (SELECT * FROM scalls WHERE snap = 'base') b FULL JOIN (SELECT * FROM scalls WHERE snap = 'head') h ON b.sym = h.sym AND b.call_ord = h.call_ord) GROUP BY 1")(
+over_state("a12_parity_counts", "SELECT parity, count(*) AS n FROM (SELECT CASE WHEN b.sym IS NULL THEN 'head-only' WHEN h.sym IS NULL THEN 'base-only' WHEN b.kind = h.kind AND b.callee IS NOT DISTINCT FROM h.callee THEN 'agreed' ELSE 'disagreed' END AS parity FROM (SELECT * FROM scalls WHERE snap = 'base') b FULL JOIN (SELECT * FROM scalls WHERE snap = 'head') h ON b.sym = h.sym AND b.call_ord = h.call_ord) GROUP BY 1", BOTH)(
     lambda p: _parity(p).groupBy("parity").agg(F.count("*").alias("n"))
 )
 over_facts("a14_median", "SELECT event_type, round(median(value), 6) AS median FROM events GROUP BY 1")(lambda f: f.events.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("median")))
@@ -195,7 +213,7 @@ over_facts("a19_batch_class", f"SELECT stream, batch, CASE WHEN bool_or(file = '
     lambda f: workload.batches(f.log_events).groupBy("stream", "batch").agg(F.when(F.bool_or(F.col("file") == "f0"), "config").when(F.bool_or(F.col("file").isin("f1", "f2")), "shared").when(F.countDistinct("file") > 1, "mixed").otherwise("single").alias("cls"))
 )
 over_facts("a20_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")(lambda f: f.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1"))
-over_state("a21_tallies", "SELECT change, count(*) FILTER (WHERE lattice = 'e') AS effects, count(*) FILTER (WHERE lattice = 'c') AS capabilities FROM changes GROUP BY 1")(
+over_state("a21_tallies", "SELECT change, count(*) FILTER (WHERE lattice = 'e') AS effects, count(*) FILTER (WHERE lattice = 'c') AS capabilities FROM changes GROUP BY 1", BOTH)(
     lambda p: diff.authority_changes(p).groupBy("change").agg(F.count_if(F.col("lattice") == "e").alias("effects"), F.count_if(F.col("lattice") == "c").alias("capabilities"))
 )
 over_facts("e12_unique_symbols", "SELECT sym, count(*) AS n FROM fn GROUP BY 1 HAVING count(*) > 1")(lambda f: f.fn.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1"))
@@ -211,7 +229,7 @@ over_state("w06_operation_site", "SELECT sym, effect, arg_min(call_ord, call_ord
     lambda p: p.calls.where("snap = 'all' and kind = 'stub'").groupBy("sym", "effect").agg(F.min("call_ord").alias("call_ord"))
 )
 over_state("w08_primary_excess", "SELECT x.sym, arg_min(x.token, e.ord) AS subject, count(*) AS n FROM excess x JOIN effects e ON e.token = x.token WHERE x.snap = 'all' AND x.lattice = 'e' GROUP BY 1")(rules.excess_effects)
-over_state("w09_body_split", "SELECT snap, lattice, sym, body_ix, token FROM bodies")(lambda p: p.bodies().select("snap", "lattice", "sym", "body_ix", "token"))
+over_state("w09_body_split", "SELECT snap, lattice, sym, body_ix, token FROM bodies", P.SNAPSHOTS)(lambda p: p.bodies().select("snap", "lattice", "sym", "body_ix", "token"))
 over_state("t04_top_unresolved", f"SELECT c.operation AS name, count(*) AS n {_COUNTED} AND c.kind = 'unresolved' AND c.operation IS NOT NULL GROUP BY 1 ORDER BY n DESC, name LIMIT 10")(coverage.top_names)
 over_state("t05_top15", f"SELECT c.operation AS name, count(*) AS n {_COUNTED} AND c.kind = 'unresolved' AND c.operation IS NOT NULL GROUP BY 1 ORDER BY n DESC, name LIMIT 15")(lambda p: coverage.top_names(p, 15))
 
@@ -230,10 +248,15 @@ def _same_sets(p: P.Propagation) -> DataFrame:
 
 
 over_state("u04_excess_effects", "SELECT sym, token FROM excess WHERE snap = 'all' AND lattice = 'e'")(lambda p: P.excess(p).where("snap = 'all' and lattice = 'e'").select("sym", "token"))
-over_state("u08_unresolved_gain", "SELECT h.sym, h.reason, coalesce(h.operation, '') AS operation, h.n - coalesce(b.n, 0) AS gained FROM (SELECT * FROM ops WHERE snap = 'head') h LEFT JOIN (SELECT * FROM ops WHERE snap = 'base') b ON b.sym = h.sym AND b.reason = h.reason AND b.operation IS NOT DISTINCT FROM h.operation JOIN presence p ON p.sym = h.sym AND p.in_base WHERE h.n > coalesce(b.n, 0)")(
+over_state("u08_unresolved_gain", "SELECT h.sym, h.reason, coalesce(h.operation, '') AS operation, h.n - coalesce(b.n, 0) AS gained FROM (SELECT * FROM ops WHERE snap = 'head') h LEFT JOIN (SELECT * FROM ops WHERE snap = 'base') b ON b.sym = h.sym AND b.reason = h.reason AND b.operation IS NOT DISTINCT FROM h.operation JOIN presence p ON p.sym = h.sym AND p.in_base WHERE h.n > coalesce(b.n, 0)", BOTH)(
     lambda p: diff.unresolved_gains(p).withColumn("operation", _text("operation"))
 )
-over_state("u12_changed_symbols", None)(incremental.changed_symbols)
+_FIELDS = ("body_ix", "kind", "callee", "effect", "req_cap", "cap_target_unknown", "reason", "operation", "escaping", "unknown_callback")
+_SUMMARY = f"""SELECT f.snap, f.sym, concat_ws('|', f.eff_kind, f.cap_kind, f.bud_kind, f.bnd_kind, f.entrypoint, f.by_config, coalesce(c.calls, ''), coalesce(d.tokens, '')) AS summary FROM snapfn f
+LEFT JOIN (SELECT snap, sym, string_agg(concat_ws('/', {", ".join(f"coalesce({c}::VARCHAR, 'null')" for c in _FIELDS)}), ';' ORDER BY call_ord) AS calls FROM scalls GROUP BY ALL) c ON c.snap = f.snap AND c.sym = f.sym
+LEFT JOIN (SELECT snap, sym, string_agg(lattice || token, ';' ORDER BY lattice, token) AS tokens FROM decl GROUP BY ALL) d ON d.snap = f.snap AND d.sym = f.sym WHERE f.snap <> 'all'"""
+_SIDES = f"SELECT coalesce(b.sym, h.sym) AS sym, b.summary AS b, h.summary AS h FROM (SELECT * FROM ({_SUMMARY}) WHERE snap = 'base') b FULL JOIN (SELECT * FROM ({_SUMMARY}) WHERE snap = 'head') h ON b.sym = h.sym"
+over_state("u12_changed_symbols", f"SELECT sym FROM ({_SIDES}) WHERE b IS DISTINCT FROM h", BOTH)(incremental.changed_symbols)
 
 # --- scalars --------------------------------------------------------------------------------
 
@@ -295,8 +318,8 @@ over_facts("f32_hash", "SELECT page_id, sha256(url) AS hash FROM pages")(lambda
 # --- graph ----------------------------------------------------------------------------------
 
 over_state("g01_propagate", "SELECT lattice, sym, token FROM state WHERE snap = 'all'")(lambda p: p.state.where("snap = 'all'").select("lattice", "sym", "token"))
-over_state("g02_scoped_fixpoint", "SELECT lattice, sym, token FROM state WHERE snap = 'head'")(
-    lambda p: incremental.scoped_state(p, incremental.impact(p, incremental.changed_symbols(p))).select("lattice", "sym", "token")
+over_state("g02_scoped_fixpoint", "SELECT lattice, sym, token FROM state WHERE snap = 'head'", BOTH)(
+    lambda p: incremental.scoped_state(p.program.at("base"), p.program.at("head"), incremental.impact(p, incremental.changed_symbols(p))).select("lattice", "sym", "token")
 )
 _WALK = """SELECT sym, token, hop_ix::INTEGER AS hop_ix, here AS hop FROM (
 WITH RECURSIVE walk AS (
@@ -319,7 +342,7 @@ over_state("g04_importer_closure", f"SELECT node FROM ({_CLOSED}) WHERE seed = (
     lambda p: incremental.importer_closure(_imports(p), p.fn.groupBy().agg(F.min("file").alias("file"))).select("node")
 )
 over_state("g05_impact_closure", "SELECT sym FROM (WITH RECURSIVE reach AS (SELECT DISTINCT sym FROM excess WHERE snap = 'all' UNION SELECT c.sym FROM reach r JOIN scalls c ON c.snap IN ('base', 'head') AND c.kind = 'resolved' AND c.callee = r.sym) SELECT sym FROM reach)")(
-    lambda p: incremental.impact(p, P.excess(p).where("snap = 'all'").select("sym").distinct())
+    lambda p: incremental.impact(p.program.at(*BOTH), P.excess(p).select("sym").distinct())
 )
 over_state("g06_reverse_calls", "SELECT DISTINCT callee, sym AS caller FROM scalls WHERE snap = 'all' AND kind = 'resolved'")(lambda p: p.calls.where("snap = 'all' and kind = 'resolved'").select("callee", F.col("sym").alias("caller")).distinct())
 over_state("g09_closure_sizes", f"SELECT seed, count(*) AS n FROM ({_CLOSED}) GROUP BY 1")(lambda p: incremental.importer_closure(_imports(p), p.fn.where("snap = 'all'").select("file").distinct()).groupBy("seed").agg(F.count("*").alias("n")))
@@ -362,17 +385,21 @@ over_facts("s10_ledger_parse", "SELECT side, line, sym AS symbol, kind, name FRO
 
 # --- changes --------------------------------------------------------------------------------
 
-over_state("d01_authority_diff", "SELECT sym, lattice, token, status, change FROM changes")(diff.authority_changes)
-over_state("d02_status", "SELECT CASE WHEN NOT in_base THEN 'new' WHEN NOT in_head THEN 'deleted' ELSE 'present' END AS status, count(*) AS n FROM presence GROUP BY 1")(
+over_state("d01_authority_diff", "SELECT sym, lattice, token, status, change FROM changes", BOTH)(diff.authority_changes)
+over_state("d02_status", "SELECT CASE WHEN NOT in_base THEN 'new' WHEN NOT in_head THEN 'deleted' ELSE 'present' END AS status, count(*) AS n FROM presence GROUP BY 1", BOTH)(
     lambda p: p.fn.where("snap <> 'all'").groupBy("sym").agg(F.when(F.count("*") == 2, "present").when(F.max("snap") == "head", "new").otherwise("deleted").alias("status")).groupBy("status").agg(F.count("*").alias("n"))
 )
-over_state("d03_unknown_changes", "SELECT * FROM (SELECT h.sym, count(DISTINCT CASE WHEN snap = 'head' THEN body_ix END) > count(DISTINCT CASE WHEN snap = 'base' THEN body_ix END) AS gained, count(DISTINCT CASE WHEN snap = 'head' THEN body_ix END) < count(DISTINCT CASE WHEN snap = 'base' THEN body_ix END) AS lost FROM holdings h JOIN presence p ON p.sym = h.sym AND p.in_base AND p.in_head WHERE snap <> 'all' AND token = '?' GROUP BY 1) WHERE gained OR lost")(diff.unknown_changes)
-over_state("d05_increases", "SELECT sym AS symbol, kind, name FROM increase")(diff.increases)
-over_state("d06_review", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN i.sym IS NULL THEN 'unused' WHEN f.line IS NULL THEN 'unapproved' ELSE 'approved' END AS status FROM (SELECT *, 1 AS slot FROM increase) i FULL JOIN force f ON f.sym = i.sym AND f.kind = i.kind AND f.name = i.name AND f.slot = i.slot) GROUP BY 1")(
+over_state("d03_unknown_changes", "SELECT * FROM (SELECT h.sym, count(DISTINCT CASE WHEN snap = 'head' THEN body_ix END) > count(DISTINCT CASE WHEN snap = 'base' THEN body_ix END) AS gained, count(DISTINCT CASE WHEN snap = 'head' THEN body_ix END) < count(DISTINCT CASE WHEN snap = 'base' THEN body_ix END) AS lost FROM holdings h JOIN presence p ON p.sym = h.sym AND p.in_base AND p.in_head WHERE snap <> 'all' AND token = '?' GROUP BY 1) WHERE gained OR lost", BOTH)(diff.unknown_changes)
+over_state("d05_increases", "SELECT sym AS symbol, kind, name FROM increase", BOTH)(diff.increases)
+over_state("d06_review", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN i.sym IS NULL THEN 'unused' WHEN f.line IS NULL THEN 'unapproved' ELSE 'approved' END AS status FROM (SELECT *, 1 AS slot FROM increase) i FULL JOIN force f ON f.sym = i.sym AND f.kind = i.kind AND f.name = i.name AND f.slot = i.slot) GROUP BY 1", BOTH)(
     lambda p: diff.review(diff.increases(p), diff.ledger_rows(p.facts)).groupBy("status").agg(F.count("*").alias("n"))
 )
-over_state("d08_summary_hashes", None)(lambda p: incremental.summary_hashes(p))
-over_state("d10_scope", None)(lambda p: incremental.impact(p, incremental.changed_symbols(p)))
+over_state("d08_summaries_equal", f"SELECT sym, b = h AS equal FROM ({_SIDES}) WHERE b IS NOT NULL AND h IS NOT NULL", BOTH)(incremental.summaries_equal)
+over_state(
+    "d10_scope",
+    f"SELECT sym FROM (WITH RECURSIVE reach AS (SELECT sym FROM ({_SIDES}) WHERE b IS DISTINCT FROM h UNION SELECT c.sym FROM reach r JOIN scalls c ON c.snap IN ('base', 'head') AND c.kind = 'resolved' AND c.callee = r.sym) SELECT sym FROM reach)",
+    BOTH,
+)(lambda p: incremental.impact(p, incremental.changed_symbols(p)))
 
 # --- runtime and logs -----------------------------------------------------------------------
 
