@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..plans.lineage import checkpointed
+
+__all__ = ["WHITE", "WORD", "checkpointed", "mix64", "release", "separator_table", "shingle_hashes", "table", "unused", "word_hashes"]
 
 #: Code points that separate words in every contract: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,19 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage through the folder that all executors share.
-
-    On a cluster that is ``spark.checkpoint.dir``; where the setting is absent (tests on one
-    machine) a temporary folder is set once for the session.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        configured = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    # new attributes on top: the optimizer cannot carry column statistics through a union of
-    # checkpoints under the old ones
-    return df.select(*[F.col(f"`{c}`").alias(c) for c in df.columns]).checkpoint(eager=True)
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of the table has (upper and lower case are alike)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def release(spark: SparkSession) -> None:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, table
+from .common import checkpointed, table, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 #: Labelled rows of each language that fit the trigram models.
@@ -207,8 +207,9 @@ def accepted_documents(docs: DataFrame, labelled: DataFrame | None = None) -> Da
     without one are kept.
     """
     result = fused(document_rows(docs), trigram_model((labelled if labelled is not None else docs).select("doc_id", "text", "lang")))
-    bad = result.groupBy("doc_id").agg(F.max("accepted").alias("ok")).where("not ok and doc_id is not null").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad, docs["doc_id"] == F.col("bad_id"), "left_anti")
+    bad = result.groupBy("doc_id").agg(F.max("accepted").alias("ok")).where("not ok and doc_id is not null")
+    name = unused(docs, "bad_id")
+    return docs.join(bad.select(F.col("doc_id").alias(name)), docs["doc_id"] == F.col(name), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

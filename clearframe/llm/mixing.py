@@ -11,6 +11,8 @@ draw that favours the smallest change of the word total.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,15 +55,15 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES)
     return ranked.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def cube_flight(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def cube_flight(p: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
     """Moves probabilities until at most two stay strictly between 0 and 1.
 
     Three undecided units always have a direction that changes neither the number nor the words
     taken; the move along it goes as far as the unit cube allows, one way or the other with the
-    odds that keep the probabilities' expectation.
+    odds that keep the probabilities' expectation.  ``seed`` fixes the draws.
     """
     p = p.astype(float).copy()
-    draw = np.random.default_rng(len(p))
+    draw = np.random.default_rng([seed, len(p)])
     waiting = [i for i in range(len(p)) if _EPS < p[i] < 1 - _EPS]
     p[p <= _EPS], p[p >= 1 - _EPS] = 0.0, 1.0
     values, size = p.tolist(), sizes.astype(float).tolist()
@@ -104,7 +106,8 @@ def cube_landing(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _fly(last: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(["unit", "size"], kind="stable").reset_index(drop=True)
-        p = cube_flight(block["p"].to_numpy(), block["size"].to_numpy())
+        seed = zlib.crc32(f"{block['source'].iloc[0]}\x00{block['block'].iloc[0]}".encode()) if len(block) else 0
+        p = cube_flight(block["p"].to_numpy(), block["size"].to_numpy(), seed)
         if last:
             p = cube_landing(p, block["size"].to_numpy())
         return block.assign(p=p)
@@ -156,12 +159,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, block: int =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents themselves, each as often as the mix takes it, with their own columns."""
     counts = mix(docs, **options).where("copies > 0").groupBy("doc_id", "unit").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    counts = counts.withColumnsRenamed({"doc_id": "mix_doc_id", "unit": "mix_unit", "copies": "mix_copies", "rows": "mix_rows"})
-    keyed = docs.withColumn("mix_key", F.xxhash64("doc_id", "text"))
-    # equal rows share their copies: each gives the average, the mix having taken them as a set
-    joined = keyed.join(counts, keyed["doc_id"].eqNullSafe(counts["mix_doc_id"]) & (keyed["mix_key"] == counts["mix_unit"]))
-    each = F.ceil(F.col("mix_copies") / F.col("mix_rows")).cast("int")
-    return joined.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), each))).select(*docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.xxhash64("doc_id", "text").alias("key"), F.col("doc_id").alias("id"))
+    joined = keyed.join(counts, (F.col("key") == F.col("unit")) & F.col("id").eqNullSafe(F.col("doc_id")))
+    # equal rows share their copies: the first ones give one more than the others
+    place = F.row_number().over(W.partitionBy("key", "id").orderBy(F.xxhash64("row")))
+    each = F.floor(F.col("copies") / F.col("rows")) + (place <= F.col("copies") % F.col("rows")).cast("long")
+    taken = joined.withColumn("each", each.cast("int")).where("each > 0")
+    return taken.withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("each")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

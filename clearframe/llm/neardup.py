@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, checkpointed, mix64, release, shingle_hashes, table, word_hashes
+from .common import WHITE, checkpointed, mix64, release, shingle_hashes, table, unused, word_hashes
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -100,7 +100,7 @@ def likely_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.nda
     return j[np.arange(len(j)), score.argmax(1)]
 
 
-_SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, sketch binary"
+_SKETCH = "doc_id long, own long, n_shingles long, k1 long, k2 long, sketch binary"
 
 
 def _groups(lengths: list[int]) -> Iterator[slice]:
@@ -125,8 +125,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             one = np.array([np.add.reduce(mix64(s + _U(1))) if len(s) else 0 for s in sets], np.uint64)
             two = np.array([np.add.reduce(mix64(s ^ _U(0x5851F42D4C957F2D))) if len(s) else 0 for s in sets], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [ids[part.start : part.stop], pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in sketch], pa.binary())],
-                ["doc_id", "n_shingles", "k1", "k2", "sketch"],
+                [ids[part.start : part.stop], batch.column(2)[part.start : part.stop], pa.array([len(s) for s in sets], pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array([r.tobytes() for r in sketch], pa.binary())],
+                ["doc_id", "own", "n_shingles", "k1", "k2", "sketch"],
             )
 
 
@@ -219,7 +219,8 @@ def _alone(run):
 def _sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, members) of the named documents, read again from the texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(ids, F.col("doc_id") == F.col("need"), "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_with_sets, "doc_id long, members array<long>")
+    chosen = texts.join(ids, F.col("doc_id") == F.col("need"), "left_semi").groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text"))
+    return chosen.mapInArrow(_with_sets, "doc_id long, members array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,8 +231,8 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node each node of the edges (a, b) reaches.
+def _labelled(edges: DataFrame) -> DataFrame:
+    """(node, component) by rounds over the edges.
 
     Each round takes the smallest label among the neighbours and then the label's own label, so
     long chains shrink quickly.  Labels are aggregated before the exchange, hot nodes are split by
@@ -250,11 +251,40 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node each node of the edges (a, b) reaches; a <> b.
+
+    The rounds run over a forest, in which each node has one edge to a smaller one.  Every other
+    edge meets the labels once; those that join two trees are contracted to the trees and labelled
+    in turn.  So what the rounds move never exceeds the nodes, however many edges a node has.
+    """
+    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    first = checkpointed(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    labels = _labelled(first)
+    side = lambda c: labels.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_in"))
+    rest = edges.join(first.select(F.col("a").alias("first_a"), F.col("b").alias("first_b")), F.col("b") == F.col("first_b")).where("a <> first_a").select("a", "b")
+    # b has an edge of the forest; a may have none, and is then a tree by itself
+    met = rest.join(side("b"), F.col("b") == F.col("b_node")).join(side("a"), F.col("a") == F.col("a_node"), "left").select("a", F.coalesce("a_in", "a").alias("x"), F.col("b_in").alias("y"))
+    across = checkpointed(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") == F.col("a"), F.col("a")).alias("lone")).distinct())
+    trees = across.where("a <> b").select("a", "b").distinct()
+    if trees.isEmpty():
+        return labels
+    roots = _labelled(trees).select(F.col("node").alias("root"), F.col("component").alias("top"))
+    every = labels.union(across.where("lone is not null").select("lone", "lone")).groupBy("node").agg(F.min("component").alias("component"))
+    return checkpointed(every.join(roots, F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")))
+
+
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketches of all rows, components of linked documents)."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("own"))
     sketches = checkpointed(texts.mapInArrow(_sketched, _SKETCH))
-    full = sketches.where("n_shingles > 0 and doc_id is not null")
+    full = sketches.where("doc_id is not null")
+    # a doc_id with several texts stands by one of them
+    several = full.groupBy("doc_id").agg(F.min("own").alias("least"), F.max("own").alias("most")).where("least <> most").select(F.col("doc_id").alias("of"), "most")
+    several = checkpointed(several)
+    if not several.isEmpty():
+        full = full.join(several, (F.col("doc_id") == F.col("of")) & (F.col("own") != F.col("most")), "left_anti")
+    full = full.where("n_shingles > 0")
     key = ["n_shingles", "k1", "k2"]
     first = full.groupBy(*key).agg(F.min("doc_id").alias("first"))
     # equal sets: an edge to the smallest document with the set
@@ -302,7 +332,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     * null and empty texts, and texts of white space, have the empty set and link with nothing;
     * texts of fewer than five words have one shingle, the whole sequence;
     * a null doc_id takes no part in links: its component is null and it is kept;
-    * repeated rows of one doc_id share their result; other columns are not read.
+    * repeated rows of one doc_id share their component; where their texts differ, the one with the
+      largest hash stands for the doc_id, and n_shingles is each row's own;
+    * other columns are not read.
     """
     sketches, found = links(docs)
     component = F.coalesce("component", "doc_id")
@@ -316,8 +348,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The documents with one of each group left, the smallest doc_id."""
     _, found = links(docs)
-    gone = found.where("component <> node").select(F.col("node").alias("gone_id"))
-    return docs.join(gone, docs["doc_id"] == F.col("gone_id"), "left_anti")
+    gone = unused(docs, "gone_id")
+    return docs.join(found.where("component <> node").select(F.col("node").alias(gone)), docs["doc_id"] == F.col(gone), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,16 +178,17 @@ def redacted(docs: DataFrame) -> DataFrame:
     last = lambda acc: F.element_at(acc, -1)
     joined = lambda acc, s: F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], s["end"]).alias("end"), last(acc)["kind"].alias("kind"))))
     merged = F.aggregate(places, none, lambda acc, s: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"]), joined(acc, s)).otherwise(F.concat(acc, F.array(s))))
-    found = detected(docs).withColumn("pii_merged", F.when(F.size("pii_spans") > 0, merged))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    found = detected(docs.select(row.alias("row"), F.col("text"))).withColumn("pii_merged", F.when(F.size("pii_spans") > 0, merged))
     text = F.col("text")
     done = lambda i: F.coalesce(F.get("pii_merged", i - 1)["end"], F.lit(0))
     piece = lambda s, i: F.concat(F.substring(text, done(i) + 1, s["start"] - done(i)), F.lit("["), F.upper(s["kind"]), F.lit("]"))
     tail = F.substring(text, F.element_at("pii_merged", -1)["end"] + 1, F.length(text))
     new = F.concat(F.array_join(F.transform("pii_merged", piece), ""), tail)
-    out = found.withColumn("text", F.when(F.col("pii_merged").isNotNull(), new).otherwise(text))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    new = F.when(F.col("pii_merged").isNotNull(), new).otherwise(text)
+    follow = {"text": new, "n_chars": F.length(new)}
+    kept = [follow[f.name].cast(f.dataType).alias(f.name) if f.name in follow else F.col("row").getField(f.name).alias(f.name) for f in docs.schema.fields]
+    return found.select(*kept)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
