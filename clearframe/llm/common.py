@@ -7,9 +7,9 @@ import gc
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.lineage import checkpointed
+from ..plans.lineage import checkpointed, counted
 
-__all__ = ["WHITE", "WORD", "checkpointed", "mix64", "release", "separator_table", "shingle_hashes", "table", "unused", "word_hashes"]
+__all__ = ["WHITE", "WORD", "checkpointed", "counted", "mix64", "release", "separator_table", "shingle_hashes", "table", "unused", "word_hashes"]
 
 #: Code points that separate words in every contract: space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"

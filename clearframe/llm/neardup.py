@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, checkpointed, mix64, release, shingle_hashes, table, unused, word_hashes
+from .common import WHITE, checkpointed, counted, mix64, release, shingle_hashes, table, unused, word_hashes
 
 WIDTH = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -231,47 +231,35 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def _labelled(edges: DataFrame) -> DataFrame:
-    """(node, component) by rounds over the edges.
-
-    Each round takes the smallest label among the neighbours and then the label's own label, so
-    long chains shrink quickly.  Labels are aggregated before the exchange, hot nodes are split by
-    the adaptive skew join, and only the number of changes reaches the driver.
-    """
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("src", "dst"))
-    labels = checkpointed(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component")))
-    while True:
-        near = both.join(labels, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("component").alias("near"))
-        step = labels.join(near, F.col("node") == F.col("dst"), "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("new"))
-        step = checkpointed(step)
-        jump = step.select(F.col("node").alias("at"), F.col("new").alias("to"))
-        moved = checkpointed(step.join(jump, F.col("new") == F.col("at"), "left").select("node", "old", F.least("new", "to").alias("component")))
-        labels = moved.select("node", "component")
-        if moved.where("old <> component").isEmpty():
-            return labels
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node each node of the edges (a, b) reaches; a <> b.
 
-    The rounds run over a forest, in which each node has one edge to a smaller one.  Every other
-    edge meets the labels once; those that join two trees are contracted to the trees and labelled
-    in turn.  So what the rounds move never exceeds the nodes, however many edges a node has.
+    Every node points to its smallest smaller neighbour.  That is a forest, whose roots come by
+    pointer doubling over one row a node, and a root is the smallest node of its tree.  Every other
+    edge meets the roots once; those that join two trees are contracted to them, and the same is
+    done with the trees.  So no round moves more rows than there are nodes, however many edges a
+    node has; hot roots are split by the adaptive skew join.
     """
-    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    first = checkpointed(edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    labels = _labelled(first)
-    side = lambda c: labels.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_in"))
-    rest = edges.join(first.select(F.col("a").alias("first_a"), F.col("b").alias("first_b")), F.col("b") == F.col("first_b")).where("a <> first_a").select("a", "b")
-    # b has an edge of the forest; a may have none, and is then a tree by itself
-    met = rest.join(side("b"), F.col("b") == F.col("b_node")).join(side("a"), F.col("a") == F.col("a_node"), "left").select("a", F.coalesce("a_in", "a").alias("x"), F.col("b_in").alias("y"))
-    across = checkpointed(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") == F.col("a"), F.col("a")).alias("lone")).distinct())
-    trees = across.where("a <> b").select("a", "b").distinct()
-    if trees.isEmpty():
-        return labels
-    roots = _labelled(trees).select(F.col("node").alias("root"), F.col("component").alias("top"))
-    every = labels.union(across.where("lone is not null").select("lone", "lone")).groupBy("node").agg(F.min("component").alias("component"))
-    return checkpointed(every.join(roots, F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")))
+    n, edges = counted(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    tree = edges.groupBy("b").agg(F.min("a").alias("up")).select(F.col("b").alias("node"), "up")
+    if not n:
+        return tree.select("node", F.col("up").alias("component"))
+    tree = checkpointed(tree)
+    while True:
+        over = tree.select(F.col("node").alias("at"), F.col("up").alias("top"))
+        seen = Observation()
+        tree = tree.join(over, F.col("up") == F.col("at"), "left").select("node", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved"))
+        tree = checkpointed(tree.observe(seen, F.count_if("moved").alias("n"))).select("node", "up")
+        if not seen.get["n"]:
+            break
+    side = lambda c: tree.select(F.col("node").alias(f"{c}_node"), F.col("up").alias(f"{c}_up"))
+    met = edges.join(side("b"), F.col("b") == F.col("b_node")).join(side("a"), F.col("a") == F.col("a_node"), "left").select(F.coalesce("a_up", "a").alias("x"), F.col("b_up").alias("y"))
+    m, across = counted(met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    if m:
+        roots = components(across).select(F.col("node").alias("root"), "component")
+        tree = tree.join(roots, F.col("up") == F.col("root"), "left").select("node", F.coalesce("component", "up").alias("up")).union(roots)
+    out = tree.select("node", F.col("up").alias("component"))
+    return checkpointed(out.union(out.select(F.col("component").alias("node"), "component")).distinct())
 
 
 def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
