@@ -1,11 +1,16 @@
 """Exact top-k inner products by dual-tree search over cover trees.
 
-Queries and data are cut into blocks by hash; each pair of blocks is one task.  There, both sides
-get a cover tree: every node has a centre among its points and a radius that covers them, children
-lie within a shrinking scale of their parent's centre and apart from each other.  The traversal
-goes down both trees together.  With centres p, q and radii r, s no pair below scores more than
-<p,q> + r|q| + s|p| + rs, and a pair of nodes is left out when this bound cannot beat the worst
-kth score of its query group.  Leaves are compared by one matrix product.
+The upper levels of both trees are tables: vectors go to the nearest of up to ``CENTRES`` centres
+(balls that hold too many are cut by hash), and each block keeps its centre, covering radius and
+smallest id.  Each query block first searches the blocks of the best bounds, which gives every
+query a kth score; a block of data is then sent to a block of queries only where its bound can
+still beat the worst kth score of that group.  With centres p, q and radii r, s no pair below scores
+more than <p,q> + r|q| + s|p| + rs.
+
+Inside a task both sides get a cover tree: every node has a centre among its points and a radius
+that covers them, the centres of children are apart from each other by at least the radius that
+covers them, and nodes are always split down to small leaves.  The traversal goes down both trees
+together and leaves a pair of nodes out under the same bound.
 """
 
 from __future__ import annotations
@@ -23,10 +28,15 @@ from .common import checkpointed, table
 TOP = 5
 EVERY = 50
 SCALE = 256.0
-#: Vectors in a block of data and in a block of queries; both bound a task's memory.
-DATA_BLOCK, QUERY_BLOCK = 1024, 1024
-LEAF = 24
-_RATIO = 0.7
+#: Vectors that a block of data or of queries should hold, and those it may hold.
+DATA_BLOCK, QUERY_BLOCK, MOST = 1024, 256, 65_536
+#: Centres of the upper level at most: with the blocks' bounds all that every task receives.
+CENTRES = 4096
+#: Blocks of the best bounds that a query block searches before the others are judged.
+FIRST = 2
+#: Points of a leaf of the data and of a leaf of the queries, and children of a node at most.
+LEAF, GROUP, FAN = 32, 4, 6
+_SLACK = 1 + 1e-9
 
 
 class Node:
@@ -37,87 +47,117 @@ class Node:
         self.norm = float(np.sqrt(center @ center))
 
 
-def cover_tree(x: np.ndarray, ids: np.ndarray) -> Node:
+def cover_tree(x: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> Node:
     """Cover tree of the rows of x; ``first`` is the smallest id below a node."""
 
-    def build(points: np.ndarray, at: int) -> Node:
-        center = x[at]
-        away = np.sqrt(np.maximum(((x[points] - center) ** 2).sum(1), 0))
-        radius = float(away.max()) * (1 + 1e-9)
-        first = int(ids[points].min())
-        if len(points) <= LEAF or radius == 0:
-            return Node(center, radius, points, (), first)
-        parts, rest, scale = [], points, radius * _RATIO
-        center_at, near = at, away <= scale
-        while len(rest):
-            parts.append((rest[near], center_at))
-            if len(parts) * LEAF > len(points):  # balls this small hold too few points to be worth a node
-                return Node(center, radius, points, (), first)
-            rest = rest[~near]
-            if len(rest):  # the next centre is outside all balls before: children stay apart
-                center_at = int(rest[0])
-                near = np.sqrt(((x[rest] - x[center_at]) ** 2).sum(1)) <= scale
-        return Node(center, radius, points, tuple(build(*part) for part in parts), first)
+    def away(points: np.ndarray, at: int) -> np.ndarray:
+        return np.sqrt(np.maximum(((x[points] - x[at]) ** 2).sum(1), 0))
+
+    def build(points: np.ndarray, at: int, far: np.ndarray) -> Node:
+        radius, first = float(far.max()) * _SLACK, int(ids[points].min())
+        if len(points) <= leaf or radius == 0:
+            return Node(x[at], radius, points, (), first)
+        # each next centre is the point farthest from the ones before, so centres are apart by at
+        # least the distance within which they cover the rest
+        centres, own, near = [at], np.zeros(len(points), int), far.copy()
+        while len(centres) < FAN and near.max() > 0:
+            centres.append(int(points[near.argmax()]))
+            here = away(points, centres[-1])
+            closer = here < near
+            own[closer], near[closer] = len(centres) - 1, here[closer]
+        parts = [(points[own == i], c, near[own == i]) for i, c in enumerate(centres)]
+        return Node(x[at], radius, points, tuple(build(*p) for p in parts if len(p[0])), first)
 
     points = np.arange(len(x))
-    mean = x.mean(0)
-    return build(points, int(((x - mean) ** 2).sum(1).argmin()))
+    at = int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    return build(points, at, away(points, at))
 
 
-def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, ids) of each query's k best rows, ties to the smaller id; absent ones have id -1."""
+def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(scores, ids, pairs compared): each query's k best rows, ties to the smaller id.
+
+    Rows that score below a query's ``floor`` may be left out; absent ones have id -1.
+    """
     best = np.full((len(queries), k), -np.inf)
     names = np.full((len(queries), k), np.iinfo(np.int64).max)
-    q_tree, d_tree = cover_tree(queries, np.arange(len(queries))), cover_tree(data, ids)
-
-    def bound(a: Node, b: Node) -> float:
-        return float(a.center @ b.center) + a.radius * b.norm + b.radius * a.norm + a.radius * b.radius
-
-    def useless(a: Node, b: Node, most: float) -> bool:
-        worst = best[a.points, -1].min()
-        return most < worst or (most == worst and b.first > names[a.points, -1].max())
-
-    heap, n = [(-bound(q_tree, d_tree), 0, q_tree, d_tree)], 0
-    while heap:
-        most, _, a, b = heapq.heappop(heap)
-        most = -most + 1e-9 * abs(most)
-        if useless(a, b, most):
-            continue
-        if not a.children and not b.children:
-            rows = a.points
-            scores = np.concatenate([best[rows], queries[rows] @ data[b.points].T], 1)
-            who = np.concatenate([names[rows], np.broadcast_to(ids[b.points], (len(rows), len(b.points)))], 1)
-            # entries below the row's kth score go before the exact order, in which ids break ties
-            row, col = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
-            order = np.lexsort((who[row, col], -scores[row, col], row))
-            row, col = row[order], col[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            row, col, rank = row[rank < k], col[rank < k], rank[rank < k]
-            best[rows[row], rank], names[rows[row], rank] = scores[row, col], who[row, col]
-            continue
-        open_b = b.children and (not a.children or b.radius >= a.radius)
-        for x, y in [(a, c) for c in b.children] if open_b else [(c, b) for c in a.children]:
-            n += 1
-            heapq.heappush(heap, (-bound(x, y), n, x, y))
+    least = np.full(len(queries), -np.inf) if floor is None else floor
+    compared = 0
+
+    def worst(a: Node) -> float:
+        return float(np.maximum(best[a.points, -1], least[a.points]).min())
+
+    def bounds(a: Node, nodes: list[Node]) -> np.ndarray:
+        c, r, n = np.array([b.center for b in nodes]), np.array([b.radius for b in nodes]), np.array([b.norm for b in nodes])
+        most = c @ a.center + a.radius * n + r * a.norm + a.radius * r
+        return most + 1e-9 * np.abs(most)
+
+    def compare(a: Node, points: np.ndarray) -> None:
+        nonlocal compared
+        rows = a.points
+        compared += len(rows) * len(points)
+        scores = np.concatenate([best[rows], queries[rows] @ data[points].T], 1)
+        who = np.concatenate([names[rows], np.broadcast_to(ids[points], (len(rows), len(points)))], 1)
+        # entries below the row's kth score go before the exact order, in which ids break ties
+        row, col = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
+        order = np.lexsort((who[row, col], -scores[row, col], row))
+        row, col = row[order], col[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col, rank = row[rank < k], col[rank < k], rank[rank < k]
+        best[rows[row], rank], names[rows[row], rank] = scores[row, col], who[row, col]
+
+    def descend(a: Node, nodes: list[Node]) -> None:
+        most, limit = bounds(a, nodes), worst(a)
+        left = [(float(m), b) for m, b in zip(most, nodes) if m >= limit]
+        if not left:
+            return
+        if a.children:
+            down = [c for _, b in left for c in (b.children if b.children and b.radius >= a.radius else (b,))]
+            for child in a.children:
+                descend(child, down)
+            return
+        heap = [(-m, i, b) for i, (m, b) in enumerate(left)]
+        heapq.heapify(heap)
+        n = len(heap)
+        while heap and -heap[0][0] >= limit:
+            ready = []
+            while heap and -heap[0][0] >= limit and len(ready) < 8:  # a few leaves make one product
+                _, _, b = heapq.heappop(heap)
+                if not b.children:
+                    ready.append(b.points)
+                    continue
+                for m, c in zip(bounds(a, list(b.children)), b.children):
+                    if m >= limit:
+                        n += 1
+                        heapq.heappush(heap, (-float(m), n, c))
+            if ready:
+                compare(a, np.concatenate(ready))
+                limit = worst(a)
+
+    descend(cover_tree(queries, np.arange(len(queries)), GROUP), [cover_tree(data, ids)])
     names[~np.isfinite(best)] = -1
-    return best, names
+    return best, names, compared
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    joined = column.combine_chunks()
+def _matrix(column) -> np.ndarray:
+    joined = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return joined.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(joined), -1)
 
 
+_FOUND = "q long, node long, score double"
+
+
 def _search(k: int):
+    """Rows (q, node, score) of a pair of blocks, and one (null, number of pairs compared, 0)."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            scores, names, key = np.zeros((0, k)), np.zeros((0, k), np.int64), np.zeros(0, np.int64)
-        else:
-            key = left["node"].to_numpy()
-            scores, names = dual_tree(_matrix(left["v"]), _matrix(right["v"]), right["node"].to_numpy(), k)
-        keep = names.reshape(-1) >= 0
-        flat = (np.repeat(key, k), names.reshape(-1), scores.reshape(-1))
-        return pa.table({c: pa.array(x[keep], t) for c, x, t in zip(("q", "node", "score"), flat, (pa.int64(), pa.int64(), pa.float64()))})
+        key, names, scores, compared = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), 0
+        if left.num_rows and right.num_rows:
+            floor = left["floor"].to_numpy(zero_copy_only=False).astype(float)
+            best, who, compared = dual_tree(_matrix(left["v"]), _matrix(right["v"]), right["node"].to_numpy(), k, np.where(np.isnan(floor), -np.inf, floor))
+            keep = who.reshape(-1) >= 0
+            key, names, scores = np.repeat(left["node"].to_numpy(), k)[keep], who.reshape(-1)[keep], best.reshape(-1)[keep]
+        q = pa.concat_arrays([pa.array(key, pa.int64()), pa.nulls(1, pa.int64())])
+        return pa.table({"q": q, "node": pa.array(np.append(names, compared), pa.int64()), "score": pa.array(np.append(scores, 0.0))})
 
     return run
 
@@ -133,29 +173,139 @@ def folded(vectors: DataFrame, copies: int) -> DataFrame:
     return ranked.groupBy("key", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).select(F.col("ids")[0].alias("node"), "v", "ids")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score) of each query's k rows with the largest inner product.
+def _nearest_centre(centres: dict[int, np.ndarray]):
+    """Adds the number of the nearest centre of the same length."""
 
-    ``vectors`` has vec_id and v, an array of numbers whose products and sums are exact in double
-    precision.  Ties go to the smaller vec_id; a query is not its own candidate.  Vectors of
-    another length are not compared; an empty table gives no rows.
+    def run(batches):
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int32)
+            dims = batch.column("dim").to_numpy()
+            for dim in np.unique(dims):
+                at = np.flatnonzero(dims == dim)
+                x, c = _matrix(batch.column("v").take(pa.array(at))), centres[int(dim)]
+                for i in range(0, len(at), 1024):
+                    out[at[i : i + 1024]] = ((c**2).sum(1)[None] - 2 * x[i : i + 1024] @ c.T).argmin(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*batch.schema.names, "ball"])
+
+    return run
+
+
+def _balls(batch: pa.Table) -> pa.Table:
+    """(dim, block, centre, radius, first) of the vectors of one block."""
+    x = _matrix(batch["v"])
+    centre = x.mean(0)
+    radius = float(np.sqrt(((x - centre) ** 2).sum(1).max())) * _SLACK
+    first = {c: batch[c][0].as_py() for c in ("dim", "block")}
+    return pa.table({"dim": pa.array([first["dim"]], pa.int32()), "block": pa.array([first["block"]], pa.int64()), "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": pa.array([radius]), "first": pa.array([int(batch["node"].to_numpy().min())], pa.int64())})
+
+
+_BALL = "dim int, block long, centre array<double>, radius double, first long"
+
+
+def blocked(nodes: DataFrame, centres: dict[int, np.ndarray], size: int, most: int) -> DataFrame:
+    """(dim, node, v, block): vectors by their nearest centre, of at most about ``most`` a block."""
+    kinds = "dim int, node long, v array<double>, ball int"
+    near = checkpointed(nodes.select("dim", "node", F.col("v").cast("array<double>").alias("v")).mapInArrow(_nearest_centre(centres), kinds))
+    parts = near.groupBy("dim", "ball").agg(F.ceil(F.count("*") / F.lit(float(most))).cast("long").alias("parts")).withColumnsRenamed({"dim": "d", "ball": "b"})
+    near = near.join(parts, (F.col("dim") == F.col("d")) & (F.col("ball") == F.col("b")))
+    block = F.col("ball").cast("long") * (1 << 32) + F.pmod(F.xxhash64("node"), F.col("parts"))
+    return checkpointed(near.select("dim", "node", "v", block.alias("block")))
+
+
+def _survivors(data: dict[int, tuple], first: int | None):
+    """Pairs (dim, qb, db) of blocks: those of the best bounds, or all others that can still matter."""
+
+    def run(batches):
+        for batch in batches:
+            dims, qbs, dbs = [], [], []
+            for row in batch.to_pylist():
+                blocks, c, r = data[row["dim"]]
+                p, s = np.array(row["centre"]), row["radius"]
+                most = c @ p + r * np.sqrt(p @ p) + s * np.sqrt((c**2).sum(1)) + r * s
+                best = np.argsort(-(c @ p), kind="stable")[:FIRST]
+                if first is None:
+                    floor = row["floor"] if row["floor"] is not None else -np.inf
+                    best = np.setdiff1d(np.flatnonzero(most + 1e-9 * np.abs(most) >= floor), best)
+                dims += [row["dim"]] * len(best)
+                qbs += [row["block"]] * len(best)
+                dbs += blocks[best].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array(qbs, pa.int64()), pa.array(dbs, pa.int64())], ["dim", "qb", "db"])
+
+    return run
+
+
+def _met(asked: DataFrame, data: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    left = asked.join(pairs.withColumnRenamed("dim", "pair_dim"), (F.col("dim") == F.col("pair_dim")) & (F.col("block") == F.col("qb"))).select("dim", "qb", "db", "node", "v", "floor")
+    right = data.join(pairs.withColumnRenamed("dim", "pair_dim"), (F.col("dim") == F.col("pair_dim")) & (F.col("block") == F.col("db"))).select("dim", "qb", "db", "node", "v")
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
+    on = ["dim", "qb", "db"]
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_search(k), _FOUND)
+
+
+def search(nodes: DataFrame, asked: DataFrame, k: int, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(q, node, score): more than enough rows for the k best of each query node; q null counts pairs.
+
+    ``nodes`` has dim, node, v and ``asked`` the nodes that are queries (q).  What tasks receive is
+    bounded: ``CENTRES`` centres of each length, and centre and radius of the blocks.
     """
+    sizes = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+
+    def centres(rows: DataFrame, of: dict[int, int], size: int) -> dict[int, np.ndarray]:
+        out = {}
+        for dim, n in of.items():
+            want = min(CENTRES, -(-n // size))
+            drawn = rows.where(F.col("dim") == dim).select("v", F.xxhash64("node", F.lit(3)).alias("h"), "node").orderBy("h", "node").limit(want)
+            out[dim] = np.array([list(r["v"]) for r in drawn.collect()], float).reshape(want, dim)
+        return out
+
+    ask = checkpointed(nodes.join(asked.select("q").distinct(), F.col("node") == F.col("q"), "left_semi").select("dim", "node", "v"))
+    m = {r["dim"]: r["n"] for r in ask.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    data = blocked(nodes, centres(nodes, sizes, data_block), data_block, MOST)
+    queries = blocked(ask, centres(ask, m, query_block), query_block, 4 * query_block)
+    balls = lambda rows: checkpointed(rows.groupBy("dim", "block").applyInArrow(_balls, _BALL))
+    q_balls, tops = balls(queries), {}
+    for r in balls(data).orderBy("dim", "block").collect():  # at most CENTRES + rows / MOST of a length
+        tops.setdefault(r["dim"], []).append((r["block"], r["centre"], r["radius"]))
+    tops = {d: (np.array([b for b, _, _ in x], np.int64), np.array([c for _, c, _ in x]), np.array([s for _, _, s in x])) for d, x in tops.items()}
+    kinds = "dim int, qb long, db long"
+    near = checkpointed(q_balls.mapInArrow(_survivors(tops, FIRST), kinds))
+    found = checkpointed(_met(queries.withColumn("floor", F.lit(None).cast("double")), data, near, k))
+    place = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "node"))
+    kth = found.where("q is not null").withColumn("rank", place).where(F.col("rank") == k).select("q", F.col("score").alias("floor"))
+    floors = checkpointed(queries.join(kth, F.col("node") == F.col("q"), "left").select("dim", "node", "v", "block", "floor"))
+    # a group whose queries do not all have k rows yet has no floor
+    group = floors.groupBy("dim", "block").agg(F.min("floor").alias("floor"), F.count_if(F.col("floor").isNull()).alias("open")).select(F.col("dim").alias("d"), F.col("block").alias("b"), F.when(F.col("open") == 0, F.col("floor")).alias("floor"))
+    judged = q_balls.join(group, (F.col("dim") == F.col("d")) & (F.col("block") == F.col("b"))).drop("d", "b")
+    rest = checkpointed(judged.mapInArrow(_survivors(tops, None), kinds))
+    return found.union(checkpointed(_met(floors, data, rest, k)))
+
+
+def _distinct(vectors: DataFrame, is_query: Column, k: int) -> tuple[DataFrame, DataFrame]:
     marked = vectors.withColumn("is_query", is_query)
     nodes = checkpointed(folded(marked.select("vec_id", "v"), k + 1).withColumn("dim", F.size("v")))
     asked = marked.where("is_query").select(F.col("vec_id").alias("query_id"), "v")
     key = lambda v: F.xxhash64(F.array_join(F.transform(v, lambda x: x.cast("string")), ","))
     owner = nodes.select("node", F.col("v").alias("node_v"), key("v").alias("node_key"))
     asked = asked.withColumn("key", key("v")).join(owner, (F.col("key") == F.col("node_key")) & (F.col("v") == F.col("node_v"))).select("query_id", F.col("node").alias("q"))
-    asked = checkpointed(asked)
-    sizes = nodes.agg(F.count("*").alias("n")).crossJoin(asked.agg(F.countDistinct("q").alias("m"))).first()
-    n_data, n_query = max(1, -(-sizes["n"] // data_block)), max(1, -(-sizes["m"] // query_block))
-    block = lambda seed, n: F.pmod(F.xxhash64("node", F.lit(seed)), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = nodes.select("dim", "node", "v").withColumn("db", block(1, n_data)).withColumn("qb", spread(n_query))
-    ask = nodes.join(asked.select("q").distinct(), F.col("node") == F.col("q"), "left_semi").select("dim", "node", "v").withColumn("qb", block(2, n_query)).withColumn("db", spread(n_data))
-    pairs = ["dim", "qb", "db"]
-    ask = ask.toDF(*ask.columns)
-    found = ask.groupBy(*pairs).cogroup(data.groupBy(*pairs)).applyInArrow(_search(k + 1), "q long, node long, score double")
+    return nodes, checkpointed(asked)
+
+
+def compared_share(vectors: DataFrame, is_query: Column, k: int = TOP, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> float:
+    """Share of all pairs of a distinct query and a distinct row that were multiplied."""
+    nodes, asked = _distinct(vectors, is_query, k)
+    pairs = search(nodes, asked, k + 1, data_block, query_block).where("q is null").agg(F.sum("node")).first()[0] or 0
+    return pairs / max(1, nodes.count() * asked.select("q").distinct().count())
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = TOP, data_block: int = DATA_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, vec_id, score) of each query's k rows with the largest inner product.
+
+    ``vectors`` has vec_id and v, an array of numbers whose products and sums are exact in double
+    precision.  Ties go to the smaller vec_id; a query is not its own candidate.  Vectors of
+    another length are not compared; an empty table gives no rows.
+    """
+    nodes, asked = _distinct(vectors, is_query, k)
+    found = search(nodes, asked, k + 1, data_block, query_block).where("q is not null")
     # a query's own copies count: its list has one more entry, and each entry stands for its ids
     best = W.partitionBy("q").orderBy(F.desc("score"), "node")
     found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k + 1)
