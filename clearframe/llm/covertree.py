@@ -15,8 +15,6 @@ together and leaves a pair of nodes out under the same bound.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +33,7 @@ CENTRES = 4096
 #: Blocks of the best bounds that a query block searches before the others are judged.
 FIRST = 2
 #: Points of a leaf of the data and of a leaf of the queries, and children of a node at most.
-LEAF, GROUP, FAN = 32, 4, 6
+LEAF, GROUP, FAN = 32, 12, 6
 _SLACK = 1 + 1e-9
 
 
@@ -73,6 +71,23 @@ def cover_tree(x: np.ndarray, ids: np.ndarray, leaf: int = LEAF) -> Node:
     return build(points, at, away(points, at))
 
 
+class Flat:
+    """The nodes of a tree as arrays, so that a bound against many nodes is one product."""
+
+    def __init__(self, root: Node):
+        nodes, self.children = [root], []
+        for node in nodes:
+            self.children.append(np.arange(len(nodes), len(nodes) + len(node.children)))
+            nodes.extend(node.children)
+        self.center, self.radius, self.norm = np.array([n.center for n in nodes]), np.array([n.radius for n in nodes]), np.array([n.norm for n in nodes])
+        self.points, self.leaf = [n.points for n in nodes], np.array([not n.children for n in nodes])
+
+    def most(self, a: Node, nodes: np.ndarray) -> np.ndarray:
+        """Bounds on the products of any point below a with any point below the nodes."""
+        bound = self.center[nodes] @ a.center + a.radius * self.norm[nodes] + self.radius[nodes] * (a.norm + a.radius)
+        return bound + 1e-9 * np.abs(bound)
+
+
 def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
     """(scores, ids, pairs compared): each query's k best rows, ties to the smaller id.
 
@@ -81,59 +96,50 @@ def dual_tree(queries: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int, fl
     best = np.full((len(queries), k), -np.inf)
     names = np.full((len(queries), k), np.iinfo(np.int64).max)
     least = np.full(len(queries), -np.inf) if floor is None else floor
-    compared = 0
+    compared, tree = 0, Flat(cover_tree(data, ids))
 
     def worst(a: Node) -> float:
         return float(np.maximum(best[a.points, -1], least[a.points]).min())
 
-    def bounds(a: Node, nodes: list[Node]) -> np.ndarray:
-        c, r, n = np.array([b.center for b in nodes]), np.array([b.radius for b in nodes]), np.array([b.norm for b in nodes])
-        most = c @ a.center + a.radius * n + r * a.norm + a.radius * r
-        return most + 1e-9 * np.abs(most)
-
     def compare(a: Node, points: np.ndarray) -> None:
         nonlocal compared
         rows = a.points
         compared += len(rows) * len(points)
         scores = np.concatenate([best[rows], queries[rows] @ data[points].T], 1)
-        who = np.concatenate([names[rows], np.broadcast_to(ids[points], (len(rows), len(points)))], 1)
         # entries below the row's kth score go before the exact order, in which ids break ties
         row, col = np.nonzero(scores >= np.partition(scores, -k, axis=1)[:, -k, None])
-        order = np.lexsort((who[row, col], -scores[row, col], row))
-        row, col = row[order], col[order]
+        who = np.where(col < k, names[rows[row], np.minimum(col, k - 1)], ids[points[np.maximum(col - k, 0)]])
+        order = np.lexsort((who, -scores[row, col], row))
+        row, col, who = row[order], col[order], who[order]
         rank = np.arange(len(row)) - np.searchsorted(row, row)
-        row, col, rank = row[rank < k], col[rank < k], rank[rank < k]
-        best[rows[row], rank], names[rows[row], rank] = scores[row, col], who[row, col]
+        row, col, who, rank = row[rank < k], col[rank < k], who[rank < k], rank[rank < k]
+        best[rows[row], rank], names[rows[row], rank] = scores[row, col], who
+
+    def opened(nodes: np.ndarray, which: np.ndarray) -> np.ndarray:
+        return np.concatenate([nodes[~which], *[tree.children[i] for i in nodes[which]]]) if which.any() else nodes
 
-    def descend(a: Node, nodes: list[Node]) -> None:
-        most, limit = bounds(a, nodes), worst(a)
-        left = [(float(m), b) for m, b in zip(most, nodes) if m >= limit]
-        if not left:
+    def descend(a: Node, nodes: np.ndarray) -> None:
+        nodes = nodes[tree.most(a, nodes) >= worst(a)]
+        if not len(nodes):
             return
         if a.children:
-            down = [c for _, b in left for c in (b.children if b.children and b.radius >= a.radius else (b,))]
+            nodes = opened(nodes, ~tree.leaf[nodes] & (tree.radius[nodes] >= a.radius))
             for child in a.children:
-                descend(child, down)
+                descend(child, nodes)
             return
-        heap = [(-m, i, b) for i, (m, b) in enumerate(left)]
-        heapq.heapify(heap)
-        n = len(heap)
-        while heap and -heap[0][0] >= limit:
-            ready = []
-            while heap and -heap[0][0] >= limit and len(ready) < 8:  # a few leaves make one product
-                _, _, b = heapq.heappop(heap)
-                if not b.children:
-                    ready.append(b.points)
-                    continue
-                for m, c in zip(bounds(a, list(b.children)), b.children):
-                    if m >= limit:
-                        n += 1
-                        heapq.heappush(heap, (-float(m), n, c))
-            if ready:
-                compare(a, np.concatenate(ready))
-                limit = worst(a)
-
-    descend(cover_tree(queries, np.arange(len(queries)), GROUP), [cover_tree(data, ids)])
+        limit = worst(a)
+        while not tree.leaf[nodes].all():
+            nodes = opened(nodes, ~tree.leaf[nodes])
+            nodes = nodes[tree.most(a, nodes) >= limit]
+        most = tree.most(a, nodes)
+        order = np.argsort(-most, kind="stable")
+        nodes, most, at, width = nodes[order], most[order], 0, 4
+        while at < len(nodes) and most[at] >= limit:  # the best leaves first, in growing batches
+            ready = nodes[at : at + width][most[at : at + width] >= limit]
+            compare(a, np.concatenate([tree.points[i] for i in ready]))
+            limit, at, width = worst(a), at + width, min(64, 2 * width)
+
+    descend(cover_tree(queries, np.arange(len(queries)), GROUP), np.zeros(1, int))
     names[~np.isfinite(best)] = -1
     return best, names, compared
 
