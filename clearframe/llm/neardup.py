@@ -240,6 +240,7 @@ def components(edges: DataFrame) -> DataFrame:
     done with the trees.  So no round moves more rows than there are nodes, however many edges a
     node has; hot roots are split by the adaptive skew join.
     """
+    release(edges.sparkSession)
     n, edges = counted(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     tree = edges.groupBy("b").agg(F.min("a").alias("up")).select(F.col("b").alias("node"), "up")
     if not n:
@@ -252,6 +253,7 @@ def components(edges: DataFrame) -> DataFrame:
         tree = checkpointed(tree.observe(seen, F.count_if("moved").alias("n"))).select("node", "up")
         if not seen.get["n"]:
             break
+    release(edges.sparkSession)
     side = lambda c: tree.select(F.col("node").alias(f"{c}_node"), F.col("up").alias(f"{c}_up"))
     met = edges.join(side("b"), F.col("b") == F.col("b_node")).join(side("a"), F.col("a") == F.col("a_node"), "left").select(F.coalesce("a_up", "a").alias("x"), F.col("b_up").alias("y"))
     m, across = counted(met.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
