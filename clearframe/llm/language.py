@@ -6,7 +6,8 @@ hierarchically: a host leans on its site, a site on the whole corpus.  They come
 of the posteriors that text and declarations give, so no host's rows meet in one task.
 
 The trigram models are fitted on a bounded sample of labelled rows (``SAMPLE`` of each language);
-priors and reliabilities are counted over all rows.
+priors and reliabilities are counted over all rows.  Documents have no address: there the suffix is
+silent and the host prior has two levels, source and corpus; pages use all four kinds.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpointed, table, unused
@@ -25,15 +27,16 @@ LANGUAGES = ("de", "en", "es", "fr")
 SAMPLE = 500
 #: Strength, in rows, of a site's prior over a host's counts, and of the corpus over a site's.
 HOST_STRENGTH, SITE_STRENGTH = 20.0, 50.0
-#: A declaration or suffix that names a language is right this often; the rest is spread evenly.
-DECLARED, SUFFIX = 0.9, 0.8
+#: What a declaration or suffix is worth is counted over all rows; before any is counted it is right
+#: this often, and that weighs as much as so many rows.
+RIGHT, STRENGTH = 0.9, 50.0
 #: Trigrams of one text are not independent: their joint log likelihood counts this much of its sum,
 #: and no text counts as more than so many trigrams.
 TEMPER, MOST_TRIGRAMS = 0.3, 400.0
-#: Texts in two languages are texts too; below this the language is open.
-ACCEPT = 0.3
-#: Mean log likelihood per trigram, relative to a uniform model, below which a text is no language.
-FLOOR = 0.0
+#: Fit is the mean log likelihood per trigram against a uniform model.  A text is in no known language
+#: where it is below this share of the fit that all but the lowest part of the declared rows reach; texts
+#: in two of the languages fit about half as well.  The bar rises with length: half of it at SHORT trigrams.
+FLOOR, LOWEST, SHORT = 0.3, 0.05, 20.0
 _BINS = 1 << 16
 
 
@@ -84,10 +87,9 @@ def trigram_model(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     table has at most one entry for each language and bin.
     """
     spark = labelled.sparkSession
-    ids = []
-    for lang in LANGUAGES:
-        own = labelled.where(F.col("lang") == lang).select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
-        ids += [r["doc_id"] for r in own.collect()]
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))  # limited before the exchange
+    drawn = labelled.where(F.col("lang").isin(*LANGUAGES)).select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).withColumn("place", place).where(F.col("place") <= sample)
+    ids = sorted({r["doc_id"] for r in drawn.select("doc_id").collect() if r["doc_id"] is not None})
     chosen = spark.createDataFrame([(i,) for i in ids], "chosen long")
     rows = labelled.where(F.col("lang").isin(*LANGUAGES)).join(F.broadcast(chosen), F.col("doc_id") == F.col("chosen"), "left_semi")
     counts = rows.select("lang", F.col("text").cast("string")).mapInArrow(_counted, "which int, code int, n long").groupBy("which", "code").agg(F.sum("n").alias("n")).toPandas()
@@ -117,12 +119,35 @@ def _scored(model: np.ndarray):
     return run
 
 
-def _named(column: str, right: float) -> list[Column]:
-    """Log likelihood of what a declaration says, under each language; null says nothing."""
+def _said(column: str) -> Column:
     said = F.lower(F.substring(F.col(column), 1, 2))
-    wrong = (1 - right) / (len(LANGUAGES) - 1)
-    known = said.isin(*LANGUAGES)
-    return [F.when(known, F.log(F.when(said == lang, F.lit(right)).otherwise(F.lit(wrong)))).otherwise(F.lit(0.0)) for lang in LANGUAGES]
+    return F.when(said.isin(*LANGUAGES), said)
+
+
+def _reliability(scored: DataFrame, column: str) -> dict[str, list[float]]:
+    """For each language said, the log likelihood of saying it under each language.
+
+    Counted over all rows: grouped sums of the posteriors that the text alone gives.
+    """
+    text = _normal([F.col("logs")[i] for i in range(len(LANGUAGES))])
+    own = scored.where("n_trigrams > 0").select(_said(column).alias("said"), text.alias("p")).where("said is not null")
+    sums = {r["said"]: r for r in own.groupBy("said").agg(*[F.sum(F.col("p")[i]).alias(f"n{i}") for i in range(len(LANGUAGES))]).collect()}
+    count = np.array([[float(sums[s][f"n{i}"]) if s in sums else 0.0 for i in range(len(LANGUAGES))] for s in LANGUAGES])
+    before = np.where(np.eye(len(LANGUAGES)) > 0, RIGHT, (1 - RIGHT) / (len(LANGUAGES) - 1))
+    rate = (count + STRENGTH * before) / (count.sum(0, keepdims=True) + STRENGTH)
+    return {s: np.log(rate[i]).tolist() for i, s in enumerate(LANGUAGES)}
+
+
+def _named(column: str, table_: dict[str, list[float]]) -> list[Column]:
+    """Log likelihood of what a declaration says, under each language; null says nothing."""
+    said = _said(column)
+    out = []
+    for i in range(len(LANGUAGES)):
+        value = F.lit(0.0)
+        for s in LANGUAGES:
+            value = F.when(said == s, F.lit(table_[s][i])).otherwise(value)
+        out.append(value)
+    return out
 
 
 def _normal(logs: list[Column]) -> Column:
@@ -145,7 +170,7 @@ def fused(rows: DataFrame, model: np.ndarray) -> DataFrame:
     kept = [*keys, "declared", "suffix", "host", "site"]
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", n_trigrams long, fit double, logs array<double>"
     scored = checkpointed(rows.select(*kept, F.col("text").cast("string").alias("text")).mapInArrow(_scored(model), schema))
-    own = [F.col("logs")[i] + d + s for i, (d, s) in enumerate(zip(_named("declared", DECLARED), _named("suffix", SUFFIX)))]
+    own = [F.col("logs")[i] + d + s for i, (d, s) in enumerate(zip(_named("declared", _reliability(scored, "declared")), _named("suffix", _reliability(scored, "suffix"))))]
     belief = scored.select("host", "site", _normal(own).alias("p"))
     sums = [F.sum(F.col("p")[i]).alias(f"n{i}") for i in range(len(LANGUAGES))]
     by_host = checkpointed(belief.groupBy("host", "site").agg(*sums))
@@ -168,7 +193,9 @@ def fused(rows: DataFrame, model: np.ndarray) -> DataFrame:
     joined = joined.withColumn("posterior_all", _normal([x + logs[i] for i, x in enumerate(own)]))
     best = F.array_max("posterior_all")
     place = F.array_position("posterior_all", best).cast("int")
-    accepted = (F.col("n_trigrams") > 0) & (F.col("fit") > FLOOR) & (F.col("posterior") >= ACCEPT)
+    usual = scored.where((F.col("n_trigrams") >= SHORT) & _said("declared").isNotNull()).agg(F.percentile_approx("fit", LOWEST)).first()[0]
+    bar = F.lit(FLOOR * max(0.0, usual or 0.0)) * F.col("n_trigrams") / (F.col("n_trigrams") + SHORT)
+    accepted = (F.col("n_trigrams") > 0) & (F.col("fit") > bar)
     return (
         joined.withColumn("posterior", best)
         .withColumn("lang_id", F.element_at(F.array(*[F.lit(x) for x in LANGUAGES]), place))
