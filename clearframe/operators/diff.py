@@ -46,6 +46,14 @@ def authority_changes(p: Propagation) -> DataFrame:
     return rows.withColumn("change", change).where("change is not null").select("sym", "lattice", "token", "status", "change")
 
 
+def unchanged(p: Propagation) -> DataFrame:
+    """(sym, lattice, token) that functions on both sides hold in head and that were not added."""
+    both = p.fn.groupBy("sym").agg(F.countDistinct("snap").alias("n")).where("n = 2").select("sym")
+    head = p.contribution.where((F.col("snap") == "head") & (F.col("token") != UNKNOWN)).select("sym", "lattice", "token").distinct()
+    added = authority_changes(p).where("change = 'added'").select("sym", "lattice", "token")
+    return head.join(both, "sym", "left_semi").join(added, ["sym", "lattice", "token"], "left_anti")
+
+
 def unresolved_gains(p: Propagation) -> DataFrame:
     """(sym, reason, operation, gained): positive part of the multiset difference, null a key too."""
     ops = unresolved_operations(p)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixed import EFFECTS
+from ..plans.lineage import checkpointed
 from .propagate import TOKEN, UNKNOWN, Propagation, excess, excess_capabilities, leaves_unknown
 
 SEVERITY = {"E": "error", "W": "warning", "I": "info"}
@@ -113,7 +113,27 @@ def with_severity(findings: DataFrame, strict_files=None) -> DataFrame:
     return findings.withColumn("severity", F.when(F.col("rule").isin(*STRICT) & strict, "error").otherwise(base))
 
 
+def exit_codes(findings: DataFrame) -> DataFrame:
+    """(rule, n, exit_code) of each rule and of ``all``: 1 where an error is among the findings."""
+    code = F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).cast("int").alias("exit_code")
+    n = F.count("*").alias("n")
+    return findings.groupBy("rule").agg(n, code).unionByName(findings.agg(n, code).withColumn("rule", F.lit("all")))
+
+
 def ranked(findings: DataFrame, fn: DataFrame) -> DataFrame:
-    """T01: canonical order by file, line, rule and subject, as a rank."""
+    """T01: canonical order of the whole report by file, line, rule, symbol and subject, as a rank.
+
+    The rows are sorted by ranges; a row's rank is its place in its partition after the rows of the
+    partitions before, whose counts are all that the driver learns.
+    """
+    order = ["file", "line", "rule", "sym", "subject"]
     placed = findings.join(fn.where("snap = 'all'").select("sym", "file", "line"), "sym")
-    return placed.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy("line", "rule", "sym", "subject")))
+    placed = checkpointed(placed.repartitionByRange(*order).sortWithinPartitions(*order))
+    at = F.monotonically_increasing_id()
+    numbered = placed.withColumn("part", F.shiftright(at, 33).cast("int")).withColumn("place", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    before, offsets = 0, []
+    for r in numbered.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        offsets += [F.lit(r["part"]), F.lit(before)]
+        before += r["n"]
+    start = F.create_map(*offsets)[F.col("part")] if offsets else F.lit(0)
+    return numbered.withColumn("rank", (start + F.col("place") + 1).cast("long")).drop("part", "place")

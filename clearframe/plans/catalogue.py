@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions import requirements as Q
-from ..functions.fixed import BUILTIN_STUBS, EFFECTS, FS_RULES, HTTP, PREFIXABLE, SQL_READ, SQL_WRITE, client_rows, stub_rows
-from ..operators import audit, contracts, coverage, diff, incremental, rules, workload
+from ..functions.fixed import BUILTIN_STUBS, CONSTRUCTORS, EFFECTS, FS_RULES, HTTP, NULLARY_CONSTRUCTORS, PREFIXABLE, SQL_METHODS, SQL_READ, SQL_WRITE, client_rows, stub_rows
+from ..operators import audit, contracts, coverage, diff, incremental, rules, tags, workload
 from ..operators import propagate as P
 
 from ..sources.facts import Facts
@@ -241,12 +241,18 @@ over_state("u03_effect_equality", "SELECT f.sym, coalesce((SELECT string_agg(tok
 )
 
 
-def _same_sets(p: P.Propagation) -> DataFrame:
-    sets = lambda df, name: df.where("snap = 'all' and lattice = 'e'").groupBy("sym").agg(F.sort_array(F.collect_set("token")).alias(name))
-    joined = p.fn.where("snap = 'all'").select("sym").join(sets(p.state, "a"), "sym", "left").join(sets(p.direct, "b"), "sym", "left")
+def _same_sets(p: P.Propagation, lattice: str = "e") -> DataFrame:
+    sets = lambda df, name: df.where((F.col("lattice") == lattice) & ((F.col("token") != P.UNKNOWN) | F.lit(lattice == "e"))).groupBy("sym").agg(F.sort_array(F.collect_set("token")).alias(name))
+    joined = p.fn.select("sym").join(sets(p.state, "a"), "sym", "left").join(sets(p.direct, "b"), "sym", "left")
     return joined.select("sym", F.col("a").eqNullSafe(F.col("b")).alias("same"))
 
 
+over_state("u06_capability_equality", "SELECT f.sym, coalesce((SELECT string_agg(token, ',' ORDER BY token) FROM state s WHERE s.snap = 'all' AND s.lattice = 'c' AND s.sym = f.sym AND token <> '?'), '') = coalesce((SELECT string_agg(token, ',' ORDER BY token) FROM direct s WHERE s.snap = 'all' AND s.lattice = 'c' AND s.sym = f.sym AND token <> '?'), '') AS same FROM snapfn f WHERE f.snap = 'all'")(
+    lambda p: _same_sets(p, "c")
+)
+over_state("u10_unchanged", "SELECT r.sym, r.lattice, r.token FROM refs r JOIN presence p ON p.sym = r.sym AND p.in_base AND p.in_head WHERE r.of_head AND NOT EXISTS (SELECT 1 FROM changes c WHERE c.sym = r.sym AND c.lattice = r.lattice AND c.token = r.token AND c.change = 'added')", BOTH)(
+    lambda p: diff.unchanged(p)
+)
 over_state("u04_excess_effects", "SELECT sym, token FROM excess WHERE snap = 'all' AND lattice = 'e'")(lambda p: P.excess(p).where("snap = 'all' and lattice = 'e'").select("sym", "token"))
 over_state("u08_unresolved_gain", "SELECT h.sym, h.reason, coalesce(h.operation, '') AS operation, h.n - coalesce(b.n, 0) AS gained FROM (SELECT * FROM ops WHERE snap = 'head') h LEFT JOIN (SELECT * FROM ops WHERE snap = 'base') b ON b.sym = h.sym AND b.reason = h.reason AND b.operation IS NOT DISTINCT FROM h.operation JOIN presence p ON p.sym = h.sym AND p.in_base WHERE h.n > coalesce(b.n, 0)", BOTH)(
     lambda p: diff.unresolved_gains(p).withColumn("operation", _text("operation"))
@@ -290,20 +296,57 @@ over_facts("f13_node_prefix", f"SELECT full_name, count(*) AS n FROM (SELECT {_P
 over_facts("f14_stub_effect", f"SELECT coalesce(e.effect, 'none') AS effect, count(*) AS n FROM (SELECT {_PREFIXED} AS full_name FROM ({_NAMED})) c LEFT JOIN (VALUES {', '.join(repr(r) for r in stub_rows())}) e(name, effect) ON e.name = c.full_name GROUP BY 1")(
     lambda f: _named_calls(f).withColumn("full", S.with_node_prefix(F.col("name"))).join(F.broadcast(f.spark.createDataFrame(stub_rows(), "stub string, effect string")), F.col("full") == F.col("stub"), "left").groupBy(F.coalesce("effect", F.lit("none")).alias("effect")).agg(F.count("*").alias("n"))
 )
-over_facts("f15_client_effects", "SELECT pattern, effect FROM (VALUES " + ", ".join(repr((p, e)) for _, p, e in client_rows()) + ") t(pattern, effect)")(
-    lambda f: _client_effects(f.spark.createDataFrame([(p.replace("*", "user"), p) for _, p, _ in client_rows()], "name string, asked string")).select(F.col("asked").alias("pattern"), "effect")
+_CLIENT_NAMES = sorted({p.replace("*", "order") for _, p, _ in client_rows()} | {p.replace("*", "a.b") for _, p, _ in client_rows() if "*" in p} | set(SQL_METHODS) | {"pg.Pool.end", "knex.QueryBuilder.where"})
+_CLIENT_CALLS = f"(SELECT n.name, CASE l_linenumber WHEN 1 THEN 'select 1' WHEN 2 THEN ' ( INSERT x' WHEN 3 THEN 'with y' WHEN 4 THEN 'drop t' ELSE '' END AS statement FROM lineitem JOIN (SELECT row_number() OVER (ORDER BY name) - 1 AS i, name FROM (VALUES {_values(_CLIENT_NAMES)}) t(name)) n ON n.i = l_suppkey % {len(_CLIENT_NAMES)})"
+
+
+def _client_calls(f: Facts) -> DataFrame:
+    names = f.spark.createDataFrame(list(enumerate(_CLIENT_NAMES)), "i int, name string")
+    statement = F.expr("CASE l_linenumber WHEN 1 THEN 'select 1' WHEN 2 THEN ' ( INSERT x' WHEN 3 THEN 'with y' WHEN 4 THEN 'drop t' ELSE '' END")
+    return f.lineitem.join(F.broadcast(names), F.col("i") == F.col("l_suppkey") % len(_CLIENT_NAMES)).select("name", statement.alias("statement"))
+
+
+_PATTERNS = ", ".join(repr((i, p, e)) for i, p, e in client_rows())
+over_facts(
+    "f15_client_effects",
+    f"""SELECT c.name, c.statement, coalesce(CASE WHEN c.name IN {_in(SQL_METHODS)} THEN (CASE WHEN contains(lower(c.statement), 'select') THEN 'db_read' WHEN contains(lower(c.statement), 'insert') OR contains(lower(c.statement), 'drop') THEN 'db_write' ELSE 'db_read,db_write' END)
+  ELSE (SELECT arg_min(r.effect, r.rank) FROM (VALUES {_PATTERNS}) r(rank, pattern, effect) WHERE len(string_split(r.pattern, '.')) = len(string_split(c.name, '.')) AND len(list_filter(list_zip(string_split(r.pattern, '.'), string_split(c.name, '.')), lambda z: z[1] <> '*' AND z[1] <> z[2])) = 0) END, 'none') AS effects, c.n
+FROM (SELECT name, statement, count(*) AS n FROM {_CLIENT_CALLS} GROUP BY ALL) c""",
+)(lambda f: tags.client_effects(_client_calls(f).groupBy("name", "statement").agg(F.count("*").alias("n"))).select("name", "statement", F.coalesce("effects", F.lit("none")).alias("effects"), "n"))
+_MADE = sorted([*CONSTRUCTORS, *NULLARY_CONSTRUCTORS, "new Map", "new Promise", "new URL", "new Widget", "new Float64Array"])
+_CONSTRUCTIONS = f"(SELECT n.name, l_linenumber % 2 AS arguments FROM lineitem JOIN (SELECT row_number() OVER (ORDER BY name) - 1 AS i, name FROM (VALUES {_values(_MADE)}) t(name)) n ON n.i = l_suppkey % {len(_MADE)})"
+over_facts(
+    "f17_constructions",
+    f"""SELECT name, arguments::INTEGER AS arguments, CASE WHEN name LIKE 'new node:worker%' THEN 'process' WHEN name LIKE 'new node:%' OR name = 'new WebSocket' THEN 'network' WHEN name = 'new Date' AND arguments = 0 THEN 'env'
+  WHEN name = 'new Promise' THEN 'higher-order' WHEN name = 'new Widget' THEN 'none' ELSE 'pure' END AS result, count(*) AS n FROM {_CONSTRUCTIONS} GROUP BY ALL""",
+)(
+    lambda f: f.lineitem.join(F.broadcast(f.spark.createDataFrame(list(enumerate(_MADE)), "i int, name string")), F.col("i") == F.col("l_suppkey") % len(_MADE))
+    .groupBy("name", (F.col("l_linenumber") % 2).cast("int").alias("arguments")).agg(F.count("*").alias("n"))
+    .withColumn("result", F.coalesce(tags.construction(F.col("name"), F.col("arguments")), F.lit("none")))
+)
+_ALIASES = {"web": ("network", "env"), "store": ("db_read", "db_write")}
+_TAGS = "CASE event_id % 9 WHEN 0 THEN ' pure ' WHEN 1 THEN 'network, db_read' WHEN 2 THEN 'llm' WHEN 3 THEN 'web' WHEN 4 THEN 'store ,env' WHEN 5 THEN 'nothing' WHEN 6 THEN 'network,,env' WHEN 7 THEN 'pure, env' ELSE 'process,env,web' END"
+over_facts(
+    "f06_effects_tag",
+    f"""SELECT event_id, CASE WHEN trim(tag) = 'pure' THEN 'pure' WHEN EXISTS (SELECT 1 FROM (SELECT unnest(list_transform(string_split(tag, ','), lambda t: trim(t))) AS t) WHERE t NOT IN (SELECT token FROM effects) AND t NOT IN ('web', 'store')) THEN 'invalid'
+  ELSE (SELECT string_agg(e.token, ',' ORDER BY e.ord) FROM effects e WHERE list_contains(list_transform(string_split(tag, ','), lambda t: trim(t)), e.token) OR (e.token = 'network' AND contains(tag, 'llm')) OR (e.token IN ('network', 'env') AND contains(tag, 'web')) OR (e.token IN ('db_read', 'db_write') AND contains(tag, 'store'))) END AS effects
+FROM (SELECT event_id, {_TAGS} AS tag FROM events)""",
+)(
+    lambda f: f.events.select("event_id", F.expr(_TAGS).alias("tag")).withColumn("got", tags.effects_tag(F.col("tag"), _ALIASES))
+    .select("event_id", F.when(F.col("got").isNull(), "invalid").when(F.size("got") == 0, "pure").otherwise(F.array_join("got", ",")).alias("effects"))
+)
+_UPDATES = """SELECT o_orderkey AS id, o_orderkey % 11 = 0 AS first, o_orderkey % 13 = 0 AS failed, o_custkey % 7 <> 0 AS told, o_custkey % 5 <> 0 AS reusable, CAST(o_orderkey % 17 = 0 AS INT) AS added,
+  CAST(o_custkey % 3 = 0 AS INT) AS deleted, CAST(o_orderkey % 4 AS INT) AS edited, CAST(o_custkey % 11 = 0 AS INT) AS configs, o_custkey % 19 = 0 AS unknown FROM orders"""
+over_facts(
+    "d11_update_plan",
+    f"SELECT id, CASE WHEN first OR failed OR NOT told OR NOT reusable OR added > 0 OR unknown THEN 'full' WHEN deleted + edited + configs > 0 THEN 'partial' ELSE 'none' END AS plan FROM ({_UPDATES})",
+)(lambda f: tags.update_plan(f.spark.sql(_UPDATES.replace("FROM orders", "FROM {orders}"), orders=f.orders)).select("id", "plan"))
+over_facts("d12_narrow_offer", f"SELECT id FROM ({_UPDATES}) WHERE NOT first AND NOT failed AND told AND reusable AND added = 0 AND NOT unknown AND deleted = 0 AND configs = 0 AND edited > 0")(
+    lambda f: tags.update_plan(f.spark.sql(_UPDATES.replace("FROM orders", "FROM {orders}"), orders=f.orders)).where("narrow").select("id")
+)
+over_facts("p13_fingerprint_reuse", "SELECT o_orderkey AS id, o_custkey % 4 <> 0 AND o_orderkey % 4 <> 0 AND (o_custkey % 2 = o_orderkey % 2) AS reusable FROM orders")(
+    lambda f: f.orders.select(F.col("o_orderkey").alias("id"), tags.fingerprint_reusable(F.col("o_custkey") % 2, F.col("o_orderkey") % 2, (F.col("o_custkey") % 4 == 0).cast("int"), (F.col("o_orderkey") % 4 == 0).cast("int")).alias("reusable"))
 )
-
-
-def _client_effects(calls: DataFrame) -> DataFrame:
-    """First matching pattern of each name; ``*`` stands for one dotted segment."""
-    rows = calls.sparkSession.createDataFrame(client_rows(), "rank int, pattern string, effect string")
-    regex = F.concat(F.lit("^"), F.replace(S._escaped(F.col("pattern")), F.lit("*"), F.lit("[^.]+")), F.lit(r"\z"))
-    segments = lambda c: F.size(F.split(c, r"\."))
-    fits = (segments(F.col("name")) == segments(F.col("pattern"))) & F.regexp_like("name", regex)
-    return calls.join(F.broadcast(rows), fits, "left").groupBy("name", "asked").agg(F.min_by("effect", "rank").alias("effect"))
-
-
 over_facts("f12_http_capability", f"SELECT page_id, 'http:' || action || ':' || host AS cap FROM hosts JOIN (SELECT row_number() OVER (ORDER BY name) - 1 AS i, name, action FROM (VALUES {', '.join(repr((n, a)) for n, (a, _) in HTTP.items())}) t(name, action)) r ON r.i = page_id % {len(HTTP)} WHERE host <> ''")(
     lambda f: f.pages.select("page_id", S.host_of(F.col("url")).alias("host")).join(F.broadcast(f.spark.createDataFrame([(i, n, HTTP[n][0]) for i, n in enumerate(sorted(HTTP))], "i int, name string, action string")), F.col("i") == F.col("page_id") % len(HTTP)).where("host is not null").select("page_id", S.format_capability(F.lit("http"), F.col("action"), F.col("host")).alias("cap"))
 )
@@ -367,13 +410,42 @@ WHERE c.snap = 'all' AND c.req_cap IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dec
   AND {glob("regexp_replace(d.token, '^[^:]*:[^:]*:', '')", "regexp_replace(c.req_cap, '^[^:]*:[^:]*:', '')")})"""
 over_state("r07_literal_excess", _LITERAL)(rules.literal_excess)
 over_state("r06_inherited_excess", f"SELECT sym, token FROM excess x WHERE snap = 'all' AND lattice = 'c' AND (NOT EXISTS (SELECT 1 FROM ({_LITERAL}) l WHERE l.sym = x.sym AND l.token = x.token) OR EXISTS (SELECT 1 FROM witness w WHERE w.snap = 'all' AND w.lattice = 'c' AND w.sym = x.sym AND w.token = x.token))")(rules.inherited_excess)
-over_state("r08_unknown_cause", None)(rules.unknown_cause)
+_CAUSE = """SELECT o.sym, CASE WHEN b.sym IS NOT NULL THEN 'boundary' WHEN NOT coalesce(w.blocked, false) AND coalesce(w.dynamic, false) THEN 'dynamic-target' ELSE 'unresolved' END AS cause
+FROM (SELECT s.sym FROM state s JOIN node n ON n.snap = s.snap AND n.lattice = s.lattice AND n.sym = s.sym WHERE s.snap = 'all' AND s.lattice = 'c' AND s.token = '?' AND n.declared AND NOT n.boundary) o
+LEFT JOIN (SELECT sym, arg_max(here, hop_ix) AS hop FROM (
+  WITH RECURSIVE chain AS (
+    SELECT s.sym, s.sym AS here, 0 AS hop_ix, [s.sym] AS seen FROM state s JOIN node n ON n.snap = s.snap AND n.lattice = s.lattice AND n.sym = s.sym WHERE s.snap = 'all' AND s.lattice = 'c' AND s.token = '?' AND n.declared AND NOT n.boundary
+    UNION ALL SELECT c.sym, n.callee, c.hop_ix + 1, list_append(c.seen, n.callee) FROM chain c JOIN witness n ON n.snap = 'all' AND n.lattice = 'c' AND n.token = '?' AND n.sym = c.here WHERE NOT list_contains(c.seen, n.callee))
+  SELECT * FROM chain) WHERE hop_ix > 0 GROUP BY 1) l ON l.sym = o.sym
+LEFT JOIN (SELECT sym FROM snapfn WHERE snap = 'all' AND bnd_kind = 'declared') b ON b.sym = l.hop
+LEFT JOIN (SELECT sym, bool_or(blocks) AS blocked, bool_or(cap_target_unknown) AS dynamic FROM scalls WHERE snap = 'all' GROUP BY 1) w ON w.sym = o.sym"""
+over_state("r08_unknown_cause", _CAUSE)(rules.unknown_cause)
 over_state("r18_proposals", "SELECT f.sym, '@effects ' || coalesce((SELECT string_agg(s.token, ', ' ORDER BY e.ord) FROM state s JOIN effects e ON e.token = s.token WHERE s.snap = 'all' AND s.lattice = 'e' AND s.sym = f.sym), 'pure') AS subject FROM snapfn f WHERE f.snap = 'all' AND f.eff_kind = 'none' AND f.bnd_kind <> 'declared' AND NOT f.undeclarable AND NOT EXISTS (SELECT 1 FROM state s WHERE s.snap = 'all' AND s.lattice = 'e' AND s.sym = f.sym AND s.token = '?')")(rules.proposals)
 over_state("r19_blocked", "SELECT f.sym, count(*) AS n FROM snapfn f JOIN scalls c ON c.snap = 'all' AND c.sym = f.sym AND c.blocks WHERE f.snap = 'all' AND f.eff_kind = 'none' AND f.bnd_kind <> 'declared' GROUP BY 1")(rules.blocked)
-over_state("t01_ranked_report", None)(lambda p: rules.ranked(rules.report(p), p.fn).select("file", "rank", "rule", "sym", "subject"))
-over_state("k07_exit_decision", "SELECT 1::INTEGER AS exit_code")(lambda p: rules.with_severity(rules.report(p)).agg(F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).cast("int").alias("exit_code")))
-over_state("k01_ndjson", None)(lambda p: rules.report(p).select(F.to_json(F.struct("rule", "sym", "subject")).alias("line")))
-over_state("k03_annotations", None)(
+_INHERITED = f"SELECT sym, token FROM excess x WHERE snap = 'all' AND lattice = 'c' AND (NOT EXISTS (SELECT 1 FROM ({_LITERAL}) l WHERE l.sym = x.sym AND l.token = x.token) OR EXISTS (SELECT 1 FROM witness w WHERE w.snap = 'all' AND w.lattice = 'c' AND w.sym = x.sym AND w.token = x.token))"
+_REPORT = f"""SELECT 'AMB-E001' AS rule, x.sym, arg_min(x.token, e.ord) AS subject FROM excess x JOIN effects e ON e.token = x.token WHERE x.snap = 'all' AND x.lattice = 'e' GROUP BY x.sym
+UNION ALL SELECT 'AMB-E002', sym, '' FROM fn WHERE eff_kind = 'invalid'
+UNION ALL SELECT 'AMB-W001', sym, '' FROM ({_W001})
+UNION ALL SELECT 'AMB-E004', sym, '' FROM fn WHERE cap_kind = 'invalid'
+UNION ALL SELECT 'AMB-E005', sym, token FROM ({_INHERITED})
+UNION ALL SELECT 'AMB-E009', sym, token || '@' || call_ord FROM ({_LITERAL})
+UNION ALL SELECT 'AMB-W003', sym, cause FROM ({_CAUSE})
+UNION ALL SELECT 'AMB-E006', sym, '' FROM fn WHERE bnd_kind = 'invalid'
+UNION ALL SELECT 'AMB-E007', sym, '' FROM fn WHERE bnd_kind = 'declared' AND eff_kind = 'none'
+UNION ALL SELECT 'AMB-E008', sym, '' FROM fn WHERE bud_kind = 'invalid'
+UNION ALL SELECT 'AMB-W002', sym, '' FROM fn WHERE entrypoint AND cap_kind = 'none'"""
+_SEVERITY = "CASE substr(rule, 5, 1) WHEN 'E' THEN 'error' WHEN 'W' THEN 'warning' ELSE 'info' END"
+over_state("t01_ranked_report", f"SELECT file, row_number() OVER (ORDER BY file, line, rule, sym, subject) AS rank, rule, sym, subject FROM (SELECT r.*, f.file, f.line FROM ({_REPORT}) r JOIN fn f ON f.sym = r.sym)")(
+    lambda p: rules.ranked(rules.report(p), p.fn).select("file", "rank", "rule", "sym", "subject")
+)
+over_state("k07_exit_decision", f"SELECT rule, count(*) AS n, CASE WHEN {_SEVERITY} = 'error' THEN 1 ELSE 0 END AS exit_code FROM ({_REPORT}) GROUP BY rule UNION ALL SELECT 'all', count(*), CASE WHEN bool_or({_SEVERITY} = 'error') THEN 1 ELSE 0 END FROM ({_REPORT})")(
+    lambda p: rules.exit_codes(rules.with_severity(rules.report(p)))
+)
+over_state("k01_ndjson", f"SELECT '{{\"rule\":\"' || rule || '\",\"sym\":\"' || sym || '\",\"subject\":\"' || subject || '\"}}' AS line FROM ({_REPORT})")(lambda p: rules.report(p).select(F.to_json(F.struct("rule", "sym", "subject")).alias("line")))
+over_state(
+    "k03_annotations",
+    f"SELECT '::' || {_SEVERITY} || ' file=' || f.file || ',line=' || f.line || ',title=' || rule || '::' || r.sym || ' ' || subject AS line FROM ({_REPORT}) r JOIN fn f ON f.sym = r.sym",
+)(
     lambda p: rules.with_severity(rules.report(p)).join(p.fn.where("snap = 'all'").select("sym", "file", F.col("line").alias("at")), "sym").select(
         F.concat(F.lit("::"), "severity", F.lit(" file="), S.annotation_property(F.col("file")), F.lit(",line="), F.col("at").cast("string"), F.lit(",title="), "rule", F.lit("::"), S.annotation_data(F.concat_ws(" ", "sym", "subject"))).alias("line")
     )
@@ -461,7 +533,11 @@ over_facts("w05_numbered_keys", "SELECT key || CASE WHEN n > 1 THEN ' #' || n EL
 
 # --- runtime requirements -------------------------------------------------------------------
 
-over_facts("f16_builtin_effect", f"SELECT name, effect FROM (VALUES {', '.join(repr(x) for x in BUILTIN_STUBS.items())}) t(name, effect)")(lambda f: f.spark.createDataFrame(list(BUILTIN_STUBS.items()), "name string, effect string"))
+_BUILTINS = ["DateConstructor.now", "Math.random", "Math.max", "JSON.parse"]
+over_facts("f16_builtin_effect", f"SELECT name, count(*) AS n, CASE WHEN name IN ('Math.max', 'JSON.parse') THEN 'none' ELSE 'env' END AS effect FROM (SELECT CASE l_suppkey % 4 WHEN 0 THEN 'DateConstructor.now' WHEN 1 THEN 'Math.random' WHEN 2 THEN 'Math.max' ELSE 'JSON.parse' END AS name FROM lineitem) GROUP BY 1")(
+    lambda f: f.lineitem.select(F.get(F.array(*map(F.lit, _BUILTINS)), (F.col("l_suppkey") % 4).cast("int")).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    .withColumn("effect", F.coalesce(F.create_map(*[F.lit(x) for pair in BUILTIN_STUBS.items() for x in pair])[F.col("name")], F.lit("none")))
+)
 over_facts("f33_fetch_requirement", "SELECT page_id, 'http:get:' || regexp_replace(host, CASE WHEN starts_with(url, 'https:') THEN ':443$' ELSE ':80$' END, '') AS cap FROM hosts JOIN pages USING (page_id) WHERE host <> '' AND contains(url, '://')")(
     lambda f: f.pages.select("page_id", Q.fetch_requirement(F.lit("GET"), F.col("url")).alias("cap")).where("cap is not null")
 )
