@@ -438,7 +438,8 @@ _SEVERITY = "CASE substr(rule, 5, 1) WHEN 'E' THEN 'error' WHEN 'W' THEN 'warnin
 over_state("t01_ranked_report", f"SELECT file, row_number() OVER (ORDER BY file, line, rule, sym, subject) AS rank, rule, sym, subject FROM (SELECT r.*, f.file, f.line FROM ({_REPORT}) r JOIN fn f ON f.sym = r.sym)")(
     lambda p: rules.ranked(rules.report(p), p.fn).select("file", "rank", "rule", "sym", "subject")
 )
-over_state("k07_exit_decision", f"SELECT rule, count(*) AS n, CASE WHEN {_SEVERITY} = 'error' THEN 1 ELSE 0 END AS exit_code FROM ({_REPORT}) GROUP BY rule UNION ALL SELECT 'all', count(*), CASE WHEN bool_or({_SEVERITY} = 'error') THEN 1 ELSE 0 END FROM ({_REPORT})")(
+over_state("k07_exit_decision", "SELECT 1::INTEGER AS exit_code")(lambda p: rules.with_severity(rules.report(p)).agg(F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).cast("int").alias("exit_code")))
+over_state("k07_exit_codes", f"SELECT rule, count(*) AS n, CASE WHEN {_SEVERITY} = 'error' THEN 1 ELSE 0 END AS exit_code FROM ({_REPORT}) GROUP BY rule UNION ALL SELECT 'all', count(*), CASE WHEN bool_or({_SEVERITY} = 'error') THEN 1 ELSE 0 END FROM ({_REPORT})")(
     lambda p: rules.exit_codes(rules.with_severity(rules.report(p)))
 )
 over_state("k01_ndjson", f"SELECT '{{\"rule\":\"' || rule || '\",\"sym\":\"' || sym || '\",\"subject\":\"' || subject || '\"}}' AS line FROM ({_REPORT})")(lambda p: rules.report(p).select(F.to_json(F.struct("rule", "sym", "subject")).alias("line")))
