@@ -33,3 +33,15 @@ def test_masks_reach_all_that_edges_reach(spark, monkeypatch, rows, most, fan):
 def test_no_seeds_give_no_rows(spark):
     edges = spark.createDataFrame([(1, 2)], "src int, dst int")
     assert lineage.closure(spark.createDataFrame([], "node int"), edges, []).collect() == []
+
+
+def test_a_heap_that_grew_is_given_back(spark):
+    java = spark._jvm.java
+    runtime, buffers = java.lang.Runtime.getRuntime(), java.nio.ByteBuffer
+    kept = [buffers.allocate(256 << 20) for _ in range(6)]
+    grown = runtime.totalMemory()
+    del kept
+    lineage.release(spark)
+    total, used = runtime.totalMemory(), runtime.totalMemory() - runtime.freeMemory()
+    assert grown > 1 << 30 and total * (1 - lineage.SPARE / 100) < used + (128 << 20)
+    assert lineage._managed(spark.sparkContext, "HotSpotDiagnostic", "getVMOption", lineage._FREE).get("value") == "70"
