@@ -123,3 +123,12 @@ def test_queries_and_oracles_are_registered():
 
     queries, oracles = entry.queries(), entry.oracle_sql()
     assert set(oracles) <= set(queries) and len(queries) > 100
+
+
+def test_comparisons_start_from_kept_rows(spark):
+    from clearframe.plans import catalogue
+
+    p = catalogue.program(spark, "/root/testdata/sf0.001").at(*catalogue.BOTH)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(p.contribution) == 0
+    assert joins(diff.holdings(p)) == 1 and joins(diff.authority_changes(p)) < 12
