@@ -132,3 +132,10 @@ def test_comparisons_start_from_kept_rows(spark):
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(p.contribution) == 0
     assert joins(diff.holdings(p)) == 1 and joins(diff.authority_changes(p)) < 12
+
+
+def test_a_comparison_joins_both_snapshots_at_once(spark):
+    from clearframe.plans import catalogue
+
+    p = catalogue.program(spark, "/root/testdata/sf0.001").at(*catalogue.BOTH)
+    assert diff.authority_changes(p)._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4

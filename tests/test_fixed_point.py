@@ -35,6 +35,15 @@ def test_no_seeds_give_no_rows(spark):
     assert lineage.closure(spark.createDataFrame([], "node int"), edges, []).collect() == []
 
 
+def test_known_rows_stay_where_they_lie(spark):
+    rows = spark.range(20).selectExpr("id % 3 as g", "id as node", "1L as mask")
+    with lineage.dealt(spark) as n:
+        known = lineage.checkpointed(rows.repartition(n, "g", "node"))
+        new = rows.repartition(n, "g", "node").union(known.select("g", "node", "mask"))
+        plan = new.groupBy("g", "node").agg({"mask": "max"})._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_a_heap_that_grew_is_given_back(spark):
     java = spark._jvm.java
     runtime, buffers = java.lang.Runtime.getRuntime(), java.nio.ByteBuffer
