@@ -40,6 +40,8 @@ _CHUNK = 1 << 22
 _U = np.uint64
 #: Documents, and shingles, in a block of a bucket or cluster.
 _BLOCK, _BLOCK_SHINGLES = 2048, 1 << 20
+#: Edges whose components one task finds; more of them take rounds of joins.
+EDGES = 1 << 18
 
 
 def text_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
@@ -231,10 +233,36 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= PERCENT * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the edges of all batches.
+
+    Of two roots that an edge joins the larger one takes the smaller one as its parent.  Only roots
+    without a smaller neighbour stay, at most half of those with edges, so rounds are few.
+    """
+    ends = [np.concatenate(x) for x in zip(*[(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows])]
+    if not ends:
+        return
+    names, place = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = place[: len(ends[0])], place[len(ends[0]) :]
+    up = np.arange(len(names))
+    while True:
+        a, b = up[a], up[b]
+        apart = a != b
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, higher := up[up]):
+            up = higher
+    for at in range(0, len(names), _CHUNK >> 6):
+        part = slice(at, at + (_CHUNK >> 6))
+        yield pa.RecordBatch.from_arrays([pa.array(names[part]), pa.array(names[up[part]])], ["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the smallest node each node of the edges (a, b) reaches; a <> b.
 
-    Every node points to its smallest smaller neighbour.  That is a forest, whose roots come by
+    Up to ``EDGES`` edges by count are joined in one task.  Beyond that every node points to its smallest smaller neighbour.  That is a forest, whose roots come by
     pointer doubling over one row a node, and a root is the smallest node of its tree.  Every other
     edge meets the roots once; those that join two trees are contracted to them, and the same is
     done with the trees.  So no round moves more rows than there are nodes, however many edges a
@@ -242,9 +270,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     release(edges.sparkSession)
     n, edges = counted(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if n <= EDGES:
+        return checkpointed(edges.coalesce(1).mapInArrow(_united, "node long, component long"))
     tree = edges.groupBy("b").agg(F.min("a").alias("up")).select(F.col("b").alias("node"), "up")
-    if not n:
-        return tree.select("node", F.col("up").alias("component"))
     tree = checkpointed(tree)
     while True:
         over = tree.select(F.col("node").alias("at"), F.col("up").alias("top"))

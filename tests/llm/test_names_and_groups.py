@@ -50,6 +50,21 @@ def test_components_are_the_smallest_reachable_nodes(spark, n, m):
     assert got == {x: find(x) for x in root}
 
 
+def test_few_edges_take_few_jobs_and_give_what_the_rounds_give(spark, monkeypatch):
+    r = random.Random(5)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 90) if i % 30] + [(a, a + r.randrange(1, 400)) for a in r.choices(range(100, 900), k=500)], "a long, b long")
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "")
+    few = sorted(map(tuple, neardup.components(edges).collect()))
+    jobs = context.statusTracker().getJobIdsForGroup("few edges")
+    context.setJobGroup("rounds", "")
+    monkeypatch.setattr(neardup, "EDGES", -1)
+    rounds = sorted(map(tuple, neardup.components(edges).collect()))
+    assert few == rounds and len(few) == len({x for x, _ in few})
+    assert len(jobs) <= 6 < len(context.statusTracker().getJobIdsForGroup("rounds"))
+    assert neardup.components(edges.limit(0)).collect() == []
+
+
 def test_two_texts_under_one_doc_id_give_one_result(spark):
     first, second = "a b c d e f g h i j", "k l m n o p q r s t"
     rows = [(1, first), (2, first), (3, second), (3, first), (4, second)]
