@@ -139,3 +139,10 @@ def test_a_comparison_joins_both_snapshots_at_once(spark):
 
     p = catalogue.program(spark, "/root/testdata/sf0.001").at(*catalogue.BOTH)
     assert diff.authority_changes(p)._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 4
+
+
+def test_what_reads_a_comparison_starts_from_its_kept_rows(spark):
+    from clearframe.plans import catalogue
+
+    plan = lambda key: catalogue.QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("p08_diff_views").count("Join ") == 0
