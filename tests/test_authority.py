@@ -147,3 +147,5 @@ def test_what_reads_a_comparison_starts_from_its_kept_rows(spark):
     plan = lambda key: catalogue.QUERIES[key](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan("p08_diff_views").count("Join ") == 0
     assert plan("u10_unchanged").count("Join ") <= 2
+    # the ledger's side joins orders, functions, effects and the spent lines; the changes come in by one full join
+    assert plan("j09_ledger_match").count("FullOuter") == 1 and plan("j09_ledger_match").count("regexp_extract") == 0
