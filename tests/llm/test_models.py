@@ -1,6 +1,7 @@
 """Language and quality models: what they reject, edge cases, and a dual tree that leaves pairs out."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from clearframe.llm import covertree, language, quality
@@ -80,3 +81,48 @@ def test_dual_tree_leaves_pairs_out_on_clustered_rows(spark):
         s = x @ x[q]
         want = sorted(((-s[i], i) for i in range(1200) if i != q))[:3]
         assert [got[q, k + 1] for k in range(3)] == [(i, -v) for v, i in want]
+
+
+def test_dual_tree_moves_rows_by_shelf_and_not_by_pair_of_blocks(spark, monkeypatch):
+    n, r = 3000, np.random.default_rng(4)
+    x = np.floor(64 * r.standard_normal((n, 16)))
+    vectors = spark.createDataFrame([(int(i), [float(c) for c in row]) for i, row in enumerate(x)], "vec_id long, v array<double>")
+    real = covertree._search
+
+    def counting(k):
+        search = real(k)
+
+        def run(left, right):
+            out = search(left, right)
+            return out.set_column(1, "node", pa.concat_arrays([out["node"].combine_chunks()[:-1], pa.array([right.num_rows], pa.int64())]))
+
+        return run
+
+    monkeypatch.setattr(covertree, "_search", counting)
+    nodes, asked = covertree._distinct(vectors, F.col("vec_id") % 5 == 0, 3)
+    moved = covertree.search(nodes, asked, 4, 128, 16).where("q is null").agg(F.sum("node")).first()[0]
+    assert moved <= 2 * n  # once for the best blocks and once for the others, whatever the number of query blocks
+
+
+def test_shelves_hold_blocks_that_lie_close():
+    centres = np.array([[9.0, 0], [-9, 0], [9, 1], [-9, 1], [8, 0], [-8, 0]])
+    got = covertree.shelves(centres, np.full(6, 10), 30).tolist()
+    assert got[0] == got[2] == got[4] != got[1] == got[3] == got[5]
+    sizes = np.array([10, 10, 10, 50, 10, 10])
+    got = covertree.shelves(centres, sizes, 30)
+    assert all(sizes[got == g].sum() <= 30 or (got == g).sum() == 1 for g in got)
+
+
+def test_dual_tree_is_exact_in_either_precision():
+    r = np.random.default_rng(6)
+    for scale in (20, 1e5):  # products beyond 2^24 need double precision
+        x = np.floor(scale * r.standard_normal((600, 8)))
+        ids = r.permutation(600)
+        q, floor = x[:90], np.sort(x[:90] @ x[300:].T, 1)[:, -3]
+        parts = np.array_split(np.arange(600), 4)
+        forest = covertree.Flat([covertree.cover_tree(x, ids, points=p) for p in parts], x, ids)
+        for given in (None, floor):
+            best, names, _ = covertree.dual_tree(q, forest, 3, given)
+            for i, s in enumerate(q @ x.T):
+                want = np.lexsort((ids, -s))[:3]
+                assert names[i].tolist() == ids[want].tolist() and best[i].tolist() == s[want].tolist()
