@@ -149,3 +149,20 @@ def test_what_reads_a_comparison_starts_from_its_kept_rows(spark):
     assert plan("u10_unchanged").count("Join ") <= 2
     # the ledger's side joins orders, functions, effects and the spent lines; the changes come in by one full join
     assert plan("j09_ledger_match").count("FullOuter") == 1 and plan("j09_ledger_match").count("regexp_extract") == 0
+
+
+def test_bodies_pick_their_calls_before_they_meet_contributions(spark):
+    from clearframe.operators import propagate
+    from clearframe.sources.facts import Facts
+
+    p = propagate.Program(Facts(spark, "/root/testdata/sf0.001")).at("base", "head")
+    assert p.declared._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 0
+    bodies = p.bodies()
+    assert bodies._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    # the same rows, picked last
+    several = p.calls.groupBy("snap", "sym").agg(F.countDistinct("body_ix").alias("n")).where("n > 1")
+    free = p.nodes.where("not declared and not boundary").groupBy("snap", "sym").count().where("count = 2")
+    every = propagate.direct_tokens(p.calls, ("body_ix",)).unionByName(p.inherited("body_ix").select("snap", "lattice", "sym", "body_ix", "token")).distinct()
+    want = every.join(several, ["snap", "sym"], "left_semi").join(free, ["snap", "sym"], "left_semi")
+    rows = lambda df: sorted(map(tuple, df.select("snap", "lattice", "sym", "body_ix", "token").collect()))
+    assert rows(bodies) == rows(want) != []
