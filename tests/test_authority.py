@@ -166,3 +166,17 @@ def test_bodies_pick_their_calls_before_they_meet_contributions(spark):
     want = every.join(several, ["snap", "sym"], "left_semi").join(free, ["snap", "sym"], "left_semi")
     rows = lambda df: sorted(map(tuple, df.select("snap", "lattice", "sym", "body_ix", "token").collect()))
     assert rows(bodies) == rows(want) != []
+
+
+def test_the_driver_is_trimmed_around_the_statements_of_a_comparison(spark, monkeypatch):
+    from clearframe.operators import propagate
+    from clearframe.plans import lineage
+    from clearframe.sources.facts import Facts
+
+    shares, trim = [], lambda spark, share: shares.append(share)
+    monkeypatch.setattr(lineage, "trim", trim)
+    monkeypatch.setattr(propagate, "trim", trim)
+    p = propagate.Program(Facts(spark, "/root/testdata/sf0.001")).at("base", "head")
+    diff.unchanged(p)
+    # before and after the calls; edges, declarations, contributions, picked calls, bodies, changes
+    assert shares.count(propagate.SHARE) == 8 and shares[:2] == [propagate.SHARE] * 2 and shares[-1] == propagate.SHARE
